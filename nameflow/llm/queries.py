@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, store
+from . import decontam, pieces, store
 from .shared import shared_folder
 
 
@@ -22,11 +22,15 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "ids")
     store.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, end_id=2)
     return store.digests(spark, folder)
 
 
-QUERIES = {"op5_pieces": op5_pieces, "op9_store": op9_store}
+QUERIES = {"op5_pieces": op5_pieces, "op7_decontam": op7_decontam, "op9_store": op9_store}
 SQL: dict[str, str] = {}
