@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pieces, store
+from . import decontam, pieces, sigtree, store
 from .shared import shared_folder
 
 
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.join_components(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -32,5 +36,5 @@ def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(spark, folder)
 
 
-QUERIES = {"op5_pieces": op5_pieces, "op7_decontam": op7_decontam, "op9_store": op9_store}
+QUERIES = {"op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op7_decontam": op7_decontam, "op9_store": op9_store}
 SQL: dict[str, str] = {}

@@ -29,14 +29,14 @@ def written(df: DataFrame, folder: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df; for scanned tables that of their files."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Catalyst's estimate of the size of df, for scanned tables that of their files; 0 if it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def parallelism(df: DataFrame) -> int:
     """Shuffle partitions for what is derived from df: the session's, or more if the input is large."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(df) // PART_BYTES, 1_000_000))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // PART_BYTES)
 
 
 @contextlib.contextmanager
