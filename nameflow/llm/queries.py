@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pieces, sigtree, store
+from . import decontam, lines, pieces, sigtree, store
 from .shared import shared_folder
 
 
@@ -26,6 +26,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -36,5 +40,5 @@ def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(spark, folder)
 
 
-QUERIES = {"op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op7_decontam": op7_decontam, "op9_store": op9_store}
+QUERIES = {"op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_store": op9_store}
 SQL: dict[str, str] = {}
