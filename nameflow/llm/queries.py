@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, pieces, sigtree, store
+from . import chat, decontam, lines, pieces, sigtree, store
 from .shared import shared_folder
 
 
@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A conversation about the template itself.
+CONFLICTING = r"\### Assistant: </turn> ok"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONFLICTING), (-7, 1, "assistant", CONFLICTING)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digest(chat.format_conversations(rows.union(more)))
+
+
 def op4_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.join_components(table(spark, sf_dir, "documents"), n=5, percent=80)
 
@@ -40,5 +50,5 @@ def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(spark, folder)
 
 
-QUERIES = {"op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_store": op9_store}
+QUERIES = {"op2_chat": op2_chat, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_store": op9_store}
 SQL: dict[str, str] = {}
