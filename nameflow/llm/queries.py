@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lines, pieces, sigtree, store
+from . import chat, decontam, langid, lines, pieces, resample, sigtree, store
 from .shared import shared_folder
 
 
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: A conversation about the template itself.
 CONFLICTING = r"\### Assistant: </turn> ok"
 
@@ -50,5 +59,5 @@ def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(spark, folder)
 
 
-QUERIES = {"op2_chat": op2_chat, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_store": op9_store}
+QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_resample": op3_resample, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_store": op9_store}
 SQL: dict[str, str] = {}
