@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, lines, pieces, resample, sigtree, store
+from . import chat, decontam, langid, lines, pieces, pii, resample, sigtree, store
 from .shared import shared_folder
 
 
@@ -53,11 +53,15 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "ids")
     store.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, end_id=2)
     return store.digests(spark, folder)
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_resample": op3_resample, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_store": op9_store}
+QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_resample": op3_resample, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op8_pii": op8_pii, "op9_store": op9_store}
 SQL: dict[str, str] = {}
