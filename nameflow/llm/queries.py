@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, pieces, pii, resample, sigtree, store
+from . import chat, decontam, katz, langid, lines, pieces, pii, resample, sigtree, store
 from .shared import shared_folder
 
 
@@ -63,5 +64,10 @@ def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(spark, folder)
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_resample": op3_resample, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op8_pii": op8_pii, "op9_store": op9_store}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 <> 1"), F.lit(True))
+    return katz.score(table(spark, sf_dir, "documents"), train)
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_resample": op3_resample, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op8_pii": op8_pii, "op9_store": op9_store, "op10_katz": op10_katz}
 SQL: dict[str, str] = {}
