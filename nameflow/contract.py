@@ -195,8 +195,8 @@ def _raw_name(name: Column) -> Column:
     return F.concat(F.unhex(encode.hex_number(F.octet_length(name), 2)), F.encode(name, "UTF-8"), F.unhex(F.lit("00")))
 
 
-def _question(ident, wire, qtype=F.lit(1)):
-    return F.concat(F.unhex(F.concat(encode.hex_number(ident, 4), F.lit("0100" + "0001" + "0000" * 3))), wire, F.unhex(F.concat(encode.hex_number(qtype, 4), F.lit("0001"))))
+def _question(ident: Column, wire: Column, qtype: int = 1) -> Column:
+    return F.concat(F.unhex(F.concat(encode.hex_number(ident, 4), F.lit("0100" + "0001" + "0000" * 3))), wire, F.unhex(F.concat(encode.hex_number(F.lit(qtype), 4), F.lit("0001"))))
 
 
 def qname_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:

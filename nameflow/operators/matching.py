@@ -38,8 +38,8 @@ def sessions(events: DataFrame, timeout_us: int, identity: Sequence[str] = IDENT
     cut = cut.withColumn("_session", F.sum("_new").over(by_time.rangeBetween(W.unboundedPreceding, W.currentRow)))
     one = F.struct(F.col("batch_id").alias("batch"), F.col("ts_us").alias("ts"), F.col("packet_ordinal").alias("packet"), F.col("record_ordinal").alias("record"), F.col("is_query").alias("q"), F.col("rcode").alias("rcode"), F.col("rcode_ctx").alias("ctx"))
     grouped = cut.groupBy(*identity, "_session").agg(F.array_sort(F.collect_list(one)).alias("e"), F.count_if("is_query").alias("n_q"), F.count_if(~F.col("is_query")).alias("n_r"))
-    times = F.transform("e", lambda x: x["ts"])
-    return grouped.withColumn("in_time_order", times == F.array_sort(times))
+    keys = F.transform("e", lambda x: F.struct(x["ts"].alias("ts"), x["packet"].alias("packet"), x["record"].alias("record")))
+    return grouped.withColumn("in_time_order", keys == F.array_sort(keys))
 
 
 def _emit(q: Column, ts: Column, rcode: Column, ctx: Column) -> Column:

@@ -3,7 +3,8 @@
 State per identity is its waiting queries and responses.  An event-time timer settles what the watermark has passed: queries
 strictly earlier than the watermark less the timeout become timeouts, responses so old are dropped.  Timers and watermarks have
 milliseconds, so the microseconds are compared again when a timer fires.  On input in time order the rows are those of the
-batch plan; late events are not taken.
+batch plan; events at or
+before the watermark are late and not taken.
 """
 
 from __future__ import annotations
