@@ -32,7 +32,7 @@ def pack(**arrays: np.ndarray) -> bytes:
         small = _narrow(np.asarray(a))
         head.append([name, small.dtype.str, len(small)])
         # bytes of equal rank side by side compress better
-        parts.append(small.view(np.uint8).reshape(len(small), -1).T.tobytes() if small.itemsize > 1 else small.tobytes())
+        parts.append(small.view(np.uint8).reshape(len(small), -1).T.tobytes() if small.itemsize > 1 and len(small) else small.tobytes())
     meta = json.dumps(head).encode()
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(meta)) + meta + b"".join(parts))
 
@@ -45,7 +45,7 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     for name, kind, count in json.loads(raw[4:at]):
         dtype = np.dtype(kind)
         flat = np.frombuffer(raw, dtype=np.uint8, count=count * dtype.itemsize, offset=at)
-        a = np.ascontiguousarray(flat.reshape(dtype.itemsize, count).T).view(dtype).reshape(count) if dtype.itemsize > 1 else flat.view(dtype)
+        a = np.ascontiguousarray(flat.reshape(dtype.itemsize, count).T).view(dtype).reshape(count) if dtype.itemsize > 1 and count else flat.view(dtype)
         at += count * dtype.itemsize
         out[name] = a.astype(np.int64) if dtype.kind in "iu" and dtype != np.uint64 else a
     return out
