@@ -137,16 +137,26 @@ class Crf:
         mixed = [np.concatenate([x[: int(rng.integers(1, CHAIN - 4))], y])[:CHAIN] for x, y in zip(runs[::2], runs[1::2], strict=False)]
         runs = runs + mixed
         rng.shuffle(runs)
-        feats, per_word = word_features(words.bytes, words.start, words.end)
-        f_end = np.cumsum(per_word)
+        # features of the distinct words of the chains alone
+        used = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.int64)
+        _, lead, same = np.unique(words.hashes()[used], return_index=True, return_inverse=True)
+        kinds = used[lead]
+        number = np.zeros(len(words), np.int32)
+        number[used] = same
+        parts = [word_features(words.bytes, words.start[kinds[x : x + 20_000]], words.end[kinds[x : x + 20_000]]) for x in range(0, len(kinds), 20_000)]
+        feats = np.concatenate([f.astype(np.uint16) for f, _ in parts]) if parts else np.zeros(0, np.uint16)
+        per_kind = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+        del parts, used, same, lead
+        f_end = np.cumsum(per_kind)
         grad_w, grad_t, grad_s = np.full(self.w.shape, 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)
         for _ in range(EPOCHS):
             for lo in range(0, len(runs), 64):
                 some = runs[lo : lo + 64]
                 length = np.array([len(r) for r in some])
                 flat = np.concatenate(some)
-                n = per_word[flat]
-                fs = tx.gather(feats, f_end[flat] - n, n)
+                which = number[flat]
+                n = per_kind[which]
+                fs = tx.gather(feats, f_end[which] - n, n)
                 e = self.emissions(fs, n)
                 c, i = np.repeat(np.arange(len(some)), length), np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
                 emit = np.zeros((len(some), int(length.max()), k))
