@@ -20,7 +20,7 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     if a.dtype.kind not in "iu" or not len(a):
         return a
     lo, hi = int(a.min()), int(a.max())
-    for kind in ((np.uint8, np.uint16, np.uint32, np.uint64) if lo >= 0 else (np.int8, np.int16, np.int32, np.int64)):
+    for kind in ((np.uint8, np.uint16, np.uint32, np.int64, np.uint64) if lo >= 0 else (np.int8, np.int16, np.int32, np.int64)):
         if np.iinfo(kind).min <= lo and hi <= np.iinfo(kind).max:
             return a.astype(kind)
     return a
