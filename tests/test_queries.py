@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def plain(v):
     v = v.item() if hasattr(v, "item") else v
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
