@@ -1,8 +1,8 @@
 """Language-model scoring by a Katz back-off bigram model.
 
-Tokens are a text's words, A-Z in lower case, and one end.  Words of at least two and a threshold of training
-occurrences - the least one that keeps them under VOCABULARY - are model types of their own; the others share
-one type, `rare`, within which a word's probability is its smoothed share of the rare training tokens, so every word
+Tokens are a text's words, A-Z in lower case, and one end.  Words of at least `least` training occurrences are model
+types of their own, however many there are; the others (with least = 1, words the training rows lack) share one type,
+`rare`, within which a word's probability is its smoothed share of the rare training tokens, so every word
 counts and the model stays normalised over all of them.
 
 Bigram counts up to DISCOUNTED are discounted by Good-Turing with Katz's correction; what a context loses goes to the
@@ -10,9 +10,11 @@ types unseen after it, in proportion to their unigram probability, by a weight t
 one: alpha(u) = (1 - sum of seen P(w|u)) / (1 - sum of P(w) of the same types).  A token's score is
 log10 P(w|u), or log10 alpha(u) + log10 P(w) where u w is unseen: the recursion of one order down.
 
-Tables (Parquet, in the shared folder): `words` - training counts by shard of word fingerprints; `bigrams` - counts by shard of
-type pairs, each with the documents that have it, so scoring reads the table once and moves one number per
-document and shard.  What the driver holds is bounded: VOCABULARY types, their contexts' statistics, counts of counts.
+Texts are cut into slices once.  A slice sends its distinct words to the shards of their fingerprints and gets back
+their counts and types, sends its distinct pairs of types and gets back their counts, and gets its contexts' weights
+from the shards of their words; then it scores its documents.  Tables (Parquet, in the shared folder): `words` - the slices'
+texts as word numbers, counts and types by shard and slice; `bigrams` - counts by shard and slice, statistics of contexts by
+shard of words; `contexts` - their weights by shard and slice.  The driver holds a few numbers a shard.
 
 Defined results: null and empty texts are one end token; rows of a null id are training rows; repeated
 rows stay repeated; other columns are ignored; an empty table gives an empty table; without training rows
@@ -32,47 +34,20 @@ from . import text as tx
 from .blobs import pack, steps, totals, unpack
 from .shared import parallelism, shared_folder, written
 
-VOCABULARY, DISCOUNTED = 65_000, 5
+DISCOUNTED = 5
 START, RARE, END, FIRST = 0, 1, 2, 3
 _BLOB = "shard int, slice bigint, blob binary"
-
-
-def _groups(key: np.ndarray, doc: np.ndarray, train: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted distinct keys, their training counts, how many documents have them, and those with counts."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    cnt = np.diff(np.append(at, len(key)))
-    key, doc = key[at], doc[at]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(head)
-    trained = tx.sums_by(np.append(first, len(key)), cnt * train[doc])
-    return {"key": key[first], "trained": trained, "df": np.diff(np.append(first, len(key))), "doc": doc, "cnt": cnt}
-
-
-def _shards(g: dict[str, np.ndarray], shard: np.ndarray, shards: int, **more) -> Iterator[tuple[int, bytes]]:
-    """A blob per shard of keys."""
-    order = np.argsort(shard, kind="stable")
-    at = np.searchsorted(shard[order], np.arange(shards + 1))
-    first = np.cumsum(g["df"]) - g["df"]
-    for s in range(shards):
-        mine = order[at[s] : at[s + 1]]
-        if len(mine):
-            df = g["df"][mine]
-            yield s, pack(key=steps(g["key"][mine]), trained=g["trained"][mine], df=df, doc=tx.gather(g["doc"], first[mine], df), cnt=tx.gather(g["cnt"], first[mine], df), **more)
+#: Kinds of rows: statistics of a shard, a slice's words, its text, contexts of a shard, a slice's pairs, its contexts.
+SHARD, WORDS, TEXT, PARTIAL, PAIRS, WEIGHTS = range(6)
+_KINDS = "kind int, " + _BLOB
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "slice", "blob"])
 
 
-def _about(ids: pa.Array, words: tx.Words, h: np.ndarray, **more) -> bytes:
-    """What identifies the documents of a slice."""
-    ids = ids.cast(pa.int64())
-    return pack(id=ids.fill_null(0).to_numpy(), null=np.asarray(ids.is_null()).astype(np.int8), hash=tx.sequence_hashes(h, words).view(np.int64), n=words.count, **more)
+def _kinds(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["kind", "shard", "slice", "blob"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, tx.Words, np.ndarray]]:
@@ -87,270 +62,278 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, n
             at += 1
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by shard, where each shard begins in it)"""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
 def _send_words(shards: int):
+    """A slice's distinct words by shard, and its text as numbers of its words in that order.  Shard 0 hears of every slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, ids, train, words, h in _parts(batches):
-            g = _groups(h, words.doc, train)
-            docs = len(train)
-            rows = [(s, at, blob) for s, blob in _shards(g, (g["key"] % tx.U64(shards)).astype(np.int64), shards, docs=np.array([docs]))]
-            yield _batch([*rows, (at % shards, at, _about(ids, words, h))])
+            key, word = np.unique(h, return_inverse=True)
+            order, cut = _by_shard((key % tx.U64(shards)).astype(np.int64), shards)
+            place = np.empty(len(key), np.int64)
+            place[order] = np.arange(len(key))
+            word, key = place[word], key[order]
+            trained = np.bincount(word, weights=train[words.doc], minlength=len(key)).astype(np.int64)
+            rows = [(s, at, pack(key=steps(key[cut[s] : cut[s + 1]]), trained=trained[cut[s] : cut[s + 1]])) for s in range(shards) if not s or cut[s] < cut[s + 1]]
+            ids = ids.cast(pa.int64())
+            about = pack(id=ids.fill_null(0).to_numpy(), null=np.asarray(ids.is_null()).astype(np.int8), n=words.count, train=train, word=word)
+            yield _batch([*rows, (at % shards, at, about)])
 
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (shard, words with training counts); kind 1: (slice, sums per document); kind 2: (slice, documents)."""
-    by: dict[int, list] = {}
-    for b in batches:
-        for s, at, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            got = unpack(x)
-            if "id" in got:
-                yield _kinds([(2, s, at, x)])
-            else:
-                by.setdefault(s, []).append((at, got))
-    for s in list(by):
-        group = by.pop(s)
-        keys = [totals(g["key"].astype(tx.U64)) for _, g in group]
-        word, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate([g["trained"] for _, g in group]), minlength=len(word)).astype(np.int64)
-        value, known, lo, rows = np.log10(count + 0.5), count > 0, 0, []
-        for at, g in group:
-            mine = np.repeat(inverse[lo : lo + len(g["key"])], g["df"])
-            lo += len(g["key"])
-            n = int(g["docs"][0])
-            total = np.bincount(g["doc"], weights=g["cnt"] * value[mine], minlength=n)
-            rows.append((1, s, at, pack(total=total, known=np.bincount(g["doc"], weights=g["cnt"] * known[mine], minlength=n).astype(np.int64))))
-        seen = count > 0
-        rows.append((0, s, 0, pack(word=steps(word[seen]), count=count[seen])))
-        yield _kinds(rows)
-
-
-def _kinds(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["kind", "shard", "slice", "blob"])
-
+def _count_words(least: int):
+    """SHARD: (kept types, all types, tokens, tokens of kept types); WORDS: ranks among the kept (or -1) and counts; TEXT."""
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            v, n = np.unique(np.minimum(unpack(x)["count"], 1_000_000), return_counts=True)
-            total = int(unpack(x)["count"].sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(v, -1)), pa.array(np.append(n, total))], names=["value", "n"])
-
-
-def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
         for b in batches:
-            for x in b.column(0).to_pylist():
-                g = unpack(x)
-                keep = g["count"] >= least
-                yield pa.RecordBatch.from_arrays([pa.array(totals(g["word"].astype(tx.U64))[keep].view(np.int64)), pa.array(g["count"][keep])], names=["word", "n"])
+            for s, at, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                got = unpack(x)
+                if "id" in got:
+                    yield _kinds([(TEXT, s, at, x)])
+                else:
+                    by.setdefault(s, []).append((at, totals(got["key"].astype(tx.U64)), got["trained"]))
+        for s in list(by):
+            group = by.pop(s)
+            word, inverse = np.unique(np.concatenate([k for _, k, _ in group]), return_inverse=True)
+            count = np.bincount(inverse, weights=np.concatenate([t for _, _, t in group]), minlength=len(word)).astype(np.int64)
+            kept = count >= least
+            rank = np.where(kept, np.cumsum(kept) - 1, -1)
+            lo, rows = 0, [(SHARD, s, 0, pack(stat=np.array([kept.sum(), (count > 0).sum(), count.sum(), count[kept].sum()])))]
+            for at, key, _ in group:
+                mine = inverse[lo : lo + len(key)]
+                lo += len(key)
+                rows.append((WORDS, s, at, pack(shard=np.array([s]), rank=rank[mine], count=count[mine])))
+            yield _kinds(rows)
 
     return run
 
 
-def _send_bigrams(shards: int, given):
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[dict[str, np.ndarray]]]]]:
+    """(slice, its rows by kind, in the order of their shards) of rows sorted by slice, kind and shard."""
+    now, rows = None, {}
+    for b in batches:
+        for kind, at, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if now is not None and at != now:
+                yield now, rows
+                rows = {}
+            now = at
+            rows.setdefault(kind, []).append(unpack(x))
+    if now is not None:
+        yield now, rows
+
+
+def _joined(parts: list[dict[str, np.ndarray]], name: str) -> np.ndarray:
+    return np.concatenate([p[name] for p in parts])
+
+
+class Sizes:
+    """What all tasks know of the training rows: types kept and where the ids of a shard begin, tokens, ends."""
+
+    def __init__(self, stats: np.ndarray, ends: int):
+        """stats: the SHARD rows' numbers by shard"""
+        kept, types, tokens, kept_tokens = stats.sum(axis=0).tolist()
+        #: ids of the kept types of shard s are base[s]..base[s + 1]; START, RARE and END are the first of shard 0
+        self.base = np.concatenate([[0], FIRST + np.cumsum(stats[:, 0])])
+        assert self.base[-1] < 1 << 31
+        self.ends, self.tokens, self.types = ends, tokens + ends, types + (ends > 0)
+        self.rare_tokens, self.rare_types = tokens - kept_tokens, types - kept
+        self.norm = self.tokens + 0.5 * (kept + 2)
+
+
+class Text:
+    """A slice's tokens - every document's, then its end - as numbers into its words, END and START, and their pairs."""
+
+    def __init__(self, rows: dict[int, list[dict[str, np.ndarray]]], z: Sizes, shards: int):
+        (self.about,), parts = rows[TEXT], rows[WORDS]
+        a, n = self.about, len(self.about["id"])
+        self.count = _joined(parts, "count")
+        m = len(self.count)
+        at, kind = 0, np.empty(m + 2, np.int64)
+        for p in parts:
+            r = p["rank"]
+            kind[at : at + len(r)] = np.where(r >= 0, r + z.base[int(p["shard"][0])] + (FIRST if not p["shard"][0] else 0), RARE)
+            at += len(r)
+        kind[m:] = END, START
+        self.kind, ends = kind, np.cumsum(a["n"])
+        self.doc = np.insert(np.repeat(np.arange(n), a["n"]), ends, np.arange(n))
+        self.w = np.insert(a["word"], ends, m)
+        self.u = np.concatenate([[m], self.w[:-1]])
+        self.u[self.u == m] = m + 1
+        pair, self.first, inverse = np.unique(kind[self.u] << 32 | kind[self.w], return_index=True, return_inverse=True)
+        order, self.cut = _by_shard((tx.mix(pair.astype(tx.U64)) % tx.U64(shards)).astype(np.int64), shards)
+        place = np.empty(len(pair), np.int64)
+        place[order] = np.arange(len(pair))
+        self.pair, self.first, self.of = pair[order], self.first[order], place[inverse]
+        #: training tokens of each word's type
+        self.of_kind = np.append(np.where(kind[:m] == RARE, z.rare_tokens, self.count), [z.ends, 0])
+
+
+def _send_bigrams(shards: int, z: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, count = given.value
-        index = tx.HashIndex()
-        if len(word):
-            index.put(word, np.arange(len(word), dtype=np.int32))
-        for at, ids, train, words, h in _parts(batches):
-            n = len(train)
-            found = index.get(h)
-            token = np.where(found >= 0, found + FIRST, RARE).astype(np.int64)
-            # every document's tokens, then its end; contexts are the token before, or the start
-            doc = np.insert(words.doc, words.first[1:], np.arange(n))
-            w = np.insert(token, words.first[1:], END)
-            u = np.empty_like(w)
-            u[1:] = w[:-1]
-            u[np.append(0, np.flatnonzero(w == END) + 1)[:n]] = START
-            g = _groups(u << 16 | w, doc, train)
-            rows = [(s, at, blob) for s, blob in _shards(g, (tx.mix(g["key"].astype(tx.U64)) % tx.U64(shards)).astype(np.int64), shards, docs=np.array([n]))]
-            own = np.where(found >= 0, np.log10(count[np.maximum(found, 0)] + 0.5) if len(count) else 0.0, 0.0)
-            common = np.bincount(words.doc, weights=own, minlength=n)
-            yield _batch([*rows, (at % shards, at, _about(ids, words, h, frequent=np.bincount(words.doc, weights=found >= 0, minlength=n).astype(np.int64), common=common, train=train))])
+        for at, rows in _slices(batches):
+            t = Text(rows, z, shards)
+            trained = np.bincount(t.of, weights=t.about["train"][t.doc], minlength=len(t.pair)).astype(np.int64)
+            of_w = t.of_kind[t.w[t.first]]
+            for s in range(shards):
+                lo, hi = t.cut[s], t.cut[s + 1]
+                if lo < hi:
+                    yield _batch([(s, at, pack(pair=steps(t.pair[lo:hi]), trained=trained[lo:hi], of_w=of_w[lo:hi]))])
 
     return run
 
 
-def _count_bigrams(unigram):
-    """kind 0: (shard, slice, pairs with counts and documents); kind 2: (slice, documents); kind 3: (shard, contexts)."""
+#: Of a context: how many types follow 1..DISCOUNTED + 1 times, occurrences beyond DISCOUNTED, types, their training tokens.
+_STATS = [*(f"m{r}" for r in range(1, DISCOUNTED + 2)), "big", "types", "of_w"]
+
+
+def _count_bigrams(shards: int, z: Sizes):
+    """SHARD: counts of counts; PAIRS: counts; PARTIAL: statistics of the contexts of a shard of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, by = unigram.value, {}
+        by: dict[int, list] = {}
         for b in batches:
             for s, at, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                got = unpack(x)
-                if "id" in got:
-                    yield _kinds([(2, s, at, x)])
-                else:
-                    by.setdefault(s, []).append((at, got))
+                g = unpack(x)
+                by.setdefault(s, []).append((at, totals(g["pair"]), g["trained"], g["of_w"]))
         for s in list(by):
             group = by.pop(s)
-            keys = [totals(g["key"]) for _, g in group]
-            pair, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(inverse, weights=np.concatenate([g["trained"] for _, g in group]), minlength=len(pair)).astype(np.int64)
+            pair, first, inverse = np.unique(np.concatenate([g[1] for g in group]), return_index=True, return_inverse=True)
+            count = np.bincount(inverse, weights=np.concatenate([g[2] for g in group]), minlength=len(pair)).astype(np.int64)
+            of_w = np.concatenate([g[3] for g in group])[first]
             lo, rows = 0, []
-            for (at, g), k in zip(group, keys, strict=True):
-                rows.append((0, s, at, pack(key=g["key"], count=count[inverse[lo : lo + len(k)]], df=g["df"], doc=g["doc"], cnt=g["cnt"], docs=g["docs"])))
-                lo += len(k)
+            for at, key, _, _ in group:
+                rows.append((PAIRS, s, at, pack(seen=count[inverse[lo : lo + len(key)]])))
+                lo += len(key)
+            del group, inverse
             seen = count > 0
-            u, w, c = pair[seen] >> 16, pair[seen] & 0xFFFF, count[seen]
-            ctx, at = np.unique(u, return_inverse=True)
-            stat = {f"m{r}": np.bincount(at, weights=c == r, minlength=len(ctx)).astype(np.int64) for r in range(1, DISCOUNTED + 2)}
-            stat["big"] = np.bincount(at, weights=c * (c > DISCOUNTED), minlength=len(ctx)).astype(np.int64)
-            rows.append((3, s, 0, pack(ctx=ctx, mass=np.bincount(at, weights=p[w], minlength=len(ctx)), **stat)))
+            u, c, of_w = pair[seen] >> 32, count[seen], of_w[seen]
+            rows.append((SHARD, s, 0, pack(stat=np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2])))
+            head = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+            ctx, at = u[head], np.append(head, len(u))
+            stat = {f"m{r}": tx.sums_by(at, (c == r).astype(np.int64)) for r in range(1, DISCOUNTED + 2)}
+            stat |= {"big": tx.sums_by(at, c * (c > DISCOUNTED)), "types": np.diff(at), "of_w": tx.sums_by(at, of_w)}
+            cut = np.searchsorted(ctx, z.base)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[k], cut[k + 1])
+                rows.append((PARTIAL, k, s, pack(ctx=steps(ctx[own] - z.base[k]), **{name: v[own] for name, v in stat.items()})))
             yield _kinds(rows)
 
     return run
 
 
-_STATS = ["u", *(f"m{r}" for r in range(1, DISCOUNTED + 2)), "big", "mass"]
-
+def discounts(nr: np.ndarray) -> np.ndarray:
+    """Factors by count 0..DISCOUNTED + 1 (and beyond), from the counts of counts 1..DISCOUNTED + 1."""
+    k, out = DISCOUNTED, np.ones(DISCOUNTED + 2)
+    good = nr.all()
+    if good:
+        spare = (k + 1) * nr[k] / nr[0]
+        for r in range(1, k + 1):
+            out[r] = ((r + 1) * nr[r] / nr[r - 1] / r - spare) / (1 - spare) if spare < 1 else 0.0
+    if not good or (out[1:] <= 0).any() or (out > 1).any():
+        # too few counts for Good-Turing: half a count off each
+        out[1 : k + 1] = (np.arange(1, k + 1) - 0.5) / np.arange(1, k + 1)
+    return out
+
+
+def weights(stat: dict[str, np.ndarray], discount: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, alpha) of contexts: P(w|u) is discount * count * scale where u w is seen, else alpha * P(w)."""
+    total = kept = stat["big"].astype(np.float64)
+    for r in range(1, DISCOUNTED + 1):
+        total = total + stat[f"m{r}"] * r
+        kept = kept + stat[f"m{r}"] * r * discount[r]
+    some = total > 0
+    # a context without discounted counts gives half a count to the unseen
+    scale = 1 / np.where(some, np.where(kept >= total, total + 0.5, total), 1)
+    rest = 1 - (stat["of_w"] + 0.5 * stat["types"]) / norm
+    full = some & (rest <= 1e-9)
+    scale = np.where(full, 1 / np.where(some, kept, 1), scale)
+    alpha = np.where(full | ~some, 1.0, (1 - kept * scale) / np.where(full, 1, rest))
+    return np.where(some, scale, 0.0), alpha
+
+
+def _weigh(z: Sizes, discount: np.ndarray):
+    """WEIGHTS: (scale, alpha) of a slice's words of a shard; from shard 0 also those of START and RARE, in front."""
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            g = unpack(x)
-            yield pa.RecordBatch.from_arrays([pa.array(g["ctx"]), *(pa.array(g[c]) for c in _STATS[1:-1]), pa.array(g["mass"].astype(np.float64))], names=_STATS)
-
-
-class Model:
-    """The bigram model over types: unigram probabilities, discounts and back-off weights."""
-
-    def __init__(self, unigram: np.ndarray, stats: np.ndarray):
-        """unigram: P by type (START has none); stats: rows of _STATS by context"""
-        k = DISCOUNTED
-        self.unigram = unigram
-        nr = stats[:, 1 : k + 2].sum(axis=0)  # counts of counts 1..k+1
-        self.discount = np.ones(k + 2)
-        good = nr[:1].all() and nr.all()
-        if good:
-            spare = (k + 1) * nr[k] / nr[0]
-            for r in range(1, k + 1):
-                self.discount[r] = ((r + 1) * nr[r] / nr[r - 1] / r - spare) / (1 - spare) if spare < 1 else 0.0
-        if not good or (self.discount[1:] <= 0).any() or (self.discount > 1).any():
-            # too few counts for Good-Turing: half a count off each
-            self.discount[1 : k + 1] = (np.arange(1, k + 1) - 0.5) / np.arange(1, k + 1)
-        n = len(unigram)
-        r = np.arange(1, k + 1)
-        self.total, self.alpha, self.scale = np.zeros(n), np.ones(n), np.zeros(n)
-        if len(stats):
-            u = stats[:, 0].astype(np.int64)
-            low = stats[:, 1 : k + 1]
-            total = (low * r).sum(axis=1) + stats[:, k + 2]
-            kept = (low * r * self.discount[1 : k + 1]).sum(axis=1) + stats[:, k + 2]
-            # a context without discounted counts gives half a count to the unseen
-            scale = 1 / np.where(kept >= total, total + 0.5, total)
-            rest = 1 - stats[:, k + 3]
-            full = rest <= 1e-9
-            scale = np.where(full, 1 / kept, scale)
-            self.total[u], self.scale[u] = total, scale
-            self.alpha[u] = np.where(full, 1.0, (1 - kept * scale) / np.where(full, 1, rest))
-
-    def log10(self, u: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-        d = self.discount[np.minimum(count, DISCOUNTED + 1)]
-        seen = count > 0
-        return np.log10(np.where(seen, np.maximum(d * count * self.scale[u], 1e-300), self.alpha[u] * self.unigram[w]))
-
-
-def _score(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = given.value
+        asked: dict[int, list] = {}
+        stats: dict[int, dict[str, np.ndarray]] = {}
         for b in batches:
-            rows = []
-            for s, at, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for kind, s, at, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if kind == WORDS:
+                    asked.setdefault(s, []).append((at, x))
+                    continue
                 g = unpack(x)
-                key = totals(g["key"])
-                value = m.log10(key >> 16, key & 0xFFFF, g["count"])
-                n = int(g["docs"][0])
-                rows.append((s, at, pack(total=np.bincount(g["doc"], weights=g["cnt"] * np.repeat(value, g["df"]), minlength=n))))
-            yield _batch(rows)
+                if s not in stats:
+                    stats[s] = {name: np.zeros(int(z.base[s + 1] - z.base[s]), np.int64) for name in _STATS}
+                ctx = totals(g["ctx"])
+                for name in _STATS:
+                    stats[s][name][ctx] += g[name]
+        for s in list(asked):
+            size = int(z.base[s + 1] - z.base[s])
+            scale, alpha = weights(stats.pop(s), discount, z.norm) if s in stats else (np.zeros(size), np.ones(size))
+            for at, x in asked.pop(s):
+                rank = unpack(x)["rank"]
+                own = rank + FIRST if s == 0 else rank
+                if s == 0:
+                    own = np.concatenate([[START, RARE], np.where(rank >= 0, own, RARE)])
+                # weights of rare words are those of RARE, which the slice has from shard 0
+                more = [np.append(v, 0.0)[own] for v in (scale, alpha)]
+                yield _kinds([(WEIGHTS, s, at, pack(scale=more[0], alpha=more[1]))])
 
     return run
 
 
-_WORDS = "doc_id bigint, hash bigint, n bigint, n_known bigint, total double"
-_PAIRS = "doc_id bigint, hash bigint, n bigint, frequent bigint, common double, train bigint, total double"
+_SCORED = "doc_id bigint, train bigint, n bigint, n_known bigint, base_score double, score double"
 
 
-def _merge(names: tuple[str, ...], sums: tuple[str, ...]):
-    """Rows (about, parts) of slices to rows of documents; parts add up in the order of their shards."""
-
+def _score(shards: int, z: Sizes, discount: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for about, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = unpack(about)
-                n = len(a["id"])
-                total = {k: np.zeros(n) for k in sums}
-                for p in sorted(parts or [], key=lambda p: p["shard"]):
-                    g = unpack(p["blob"])
-                    for k in sums:
-                        total[k] += g[k]
-                out = [pa.array(a["id"], pa.int64(), mask=a["null"].astype(bool)), pa.array(a["hash"]), pa.array(a["n"])]
-                for k in names[3:]:
-                    v = total[k] if k in total else a[k]
-                    out.append(pa.array(v.astype(np.float64)) if k in ("total", "common") else pa.array(v.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "hash", "n", *("n_known" if k == "known" else k for k in names[3:])])
+        norm, rare_norm = np.log10(z.tokens + 0.5 * (z.types + 1)), np.log10(z.rare_tokens + 0.5 * (z.rare_types + 1))
+        for _, rows in _slices(batches):
+            t = Text(rows, z, shards)
+            a, n, m = t.about, len(t.about["id"]), len(t.count)
+            seen, scale, alpha = _joined(rows[PAIRS], "seen"), _joined(rows[WEIGHTS], "scale"), _joined(rows[WEIGHTS], "alpha")
+            scale, alpha = (np.append(np.where(t.kind[:m] == RARE, v[1], v[2:]), [0.0, v[0]]) for v in (scale, alpha))
+            u, w = t.u[t.first], t.w[t.first]
+            value = np.where(seen > 0, np.maximum(discount[np.minimum(seen, DISCOUNTED + 1)] * seen * scale[u], 1e-300), alpha[u] * (t.of_kind[w] + 0.5) / z.norm)
+            own = np.append(np.log10(t.count + 0.5), [np.log10(z.ends + 0.5), 0.0])
+            share = np.where(t.kind == RARE, own - rare_norm, 0.0)
+            known = np.append(t.count > 0, [z.ends > 0, False])
+            sums = lambda v: np.bincount(t.doc, weights=v, minlength=n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a["id"], pa.int64(), mask=a["null"].astype(bool)), pa.array(a["train"], pa.int64()), pa.array(a["n"] + 1, pa.int64()), pa.array(sums(known[t.w]).astype(np.int64)),
+                    pa.array(sums(own[t.w]) - (a["n"] + 1) * norm), pa.array(sums(np.log10(value)[t.of] + share[t.w])),
+                ],
+                names=[x.split()[0] for x in _SCORED.split(", ")],
+            )
 
     return run
 
 
-def score(docs: DataFrame, train, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """train: boolean column of docs.  Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, train, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """train: boolean column of docs; least: training occurrences that make a word a type of its own, 1 or more.
+    Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     folder, shards = shared_folder(spark, "katz"), parallelism(docs)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
-    sent = docs.mapInArrow(_send_words(shards), _BLOB).repartitionById(shards, F.col("shard"))
-    kinds = "kind int, " + _BLOB
-    words = written(sent.mapInArrow(_count_words, kinds), f"{folder}/words")
-    counted = words.where("kind = 0").select("blob")
-    rows = counted.mapInArrow(_histogram, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).collect()
-    hist = {r.value: r.n for r in rows}
-    ends = docs.where("train").count()
-    tokens = hist.pop(-1, 0) + ends
-    types = sum(hist.values()) + (ends > 0)
-    least, room = 2, 0
-    for v in sorted(hist, reverse=True):
-        room += hist[v]
-        if room > vocabulary or v < 2:
-            break
-        least = v
-    else:
-        least = 2
-    if not hist or max(hist) < 2:
-        least = 1 << 62
-    elif room > vocabulary:
-        pass
-    frequent = counted.mapInArrow(_frequent(least), "word bigint, n bigint").orderBy("word").collect() if least < 1 << 62 else []
-    assert len(frequent) <= vocabulary
-    word = np.array([r.word for r in frequent], dtype=np.int64).view(tx.U64)
-    count = np.array([r.n for r in frequent], dtype=np.int64)
-    rare_tokens, rare_types = tokens - ends - int(count.sum()), types - (ends > 0) - len(count)
-    by_type = np.concatenate([[0, rare_tokens, ends], count]).astype(np.float64) + 0.5
-    by_type[START] = 0.0
-    unigram = by_type / by_type.sum()
-    given = spark.sparkContext.broadcast((word, count))
-    pairs_sent = docs.mapInArrow(_send_bigrams(shards, given), _BLOB).repartitionById(shards, F.col("shard"))
-    pairs = written(pairs_sent.mapInArrow(_count_bigrams(spark.sparkContext.broadcast(unigram)), kinds), f"{folder}/bigrams")
-    stats_schema = ", ".join(f"{c} {'double' if c == 'mass' else 'bigint'}" for c in _STATS)
-    stats = pairs.where("kind = 3").select("blob").mapInArrow(_contexts, stats_schema).groupBy("u").agg(*(F.sum(c).alias(c) for c in _STATS[1:])).orderBy("u").collect()  # a row per type
-    model = spark.sparkContext.broadcast(Model(unigram, np.array([tuple(r) for r in stats], dtype=np.float64).reshape(-1, len(_STATS))))
-    scored = pairs.where("kind = 0").select("shard", "slice", "blob").mapInArrow(_score(model), _BLOB)
-
-    def per_document(parts: DataFrame, about: DataFrame, names: tuple[str, ...], sums: tuple[str, ...], schema: str) -> DataFrame:
-        gathered = parts.groupBy("slice").agg(F.collect_list(F.struct("shard", "blob")).alias("parts"))
-        return about.select("slice", F.col("blob").alias("about")).join(gathered, "slice", "left").select("about", "parts").mapInArrow(_merge(names, sums), schema)
-
-    base = per_document(words.where("kind = 1").select("shard", "slice", "blob"), words.where("kind = 2"), ("id", "hash", "n", "known", "total"), ("known", "total"), _WORDS)
-    base = base.dropDuplicates(["doc_id", "hash"]).select(F.col("doc_id").alias("i"), F.col("hash").alias("h"), "n_known", F.col("total").alias("words_total"))
-    own = per_document(scored, pairs.where("kind = 2"), ("id", "hash", "n", "frequent", "common", "train", "total"), ("total",), _PAIRS)
-    both = own.join(base, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
-    n = F.col("n") + 1
-    known_end = 1 if ends else 0
-    norm, rare_norm = float(np.log10(tokens + 0.5 * (types + 1))), float(np.log10(rare_tokens + 0.5 * (rare_types + 1)))
-    return both.select(
-        "doc_id", (F.col("train") == 0).alias("held_out"), n.alias("n_tokens"), (F.col("n_known") + known_end).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("words_total") + float(np.log10(ends + 0.5)) - n * norm).alias("base_score"),
-        (F.col("total") + F.col("words_total") - F.col("common") - (F.col("n") - F.col("frequent")) * rare_norm).alias("score"),
-    )
+    to_shard = lambda df: df.repartitionById(shards, F.col("shard"))
+    by_slice = lambda df: df.repartition(shards, "slice").sortWithinPartitions("slice", "kind", "shard")
+    collected = lambda df: {r.shard: unpack(bytes(r.blob))["stat"] for r in df.where(F.col("kind") == SHARD).select("shard", "blob").collect()}  # noqa: E731  a row a shard
+    words = written(to_shard(docs.mapInArrow(_send_words(shards), _BLOB)).mapInArrow(_count_words(least), _KINDS), f"{folder}/words")
+    stats = collected(words)
+    z = Sizes(np.array([stats.get(s, np.zeros(4, np.int64)) for s in range(shards)]), docs.where("train").count())
+    texts = words.where(F.col("kind").isin(WORDS, TEXT))
+    pairs = written(to_shard(by_slice(texts).mapInArrow(_send_bigrams(shards, z), _BLOB)).mapInArrow(_count_bigrams(shards, z), _KINDS), f"{folder}/bigrams")
+    discount = discounts(sum(collected(pairs).values(), np.zeros(DISCOUNTED + 1, np.int64)))
+    asked = words.where(F.col("kind") == WORDS).union(pairs.where(F.col("kind") == PARTIAL))
+    contexts = written(to_shard(asked).mapInArrow(_weigh(z, discount), _KINDS), f"{folder}/contexts")
+    scored = by_slice(texts.union(pairs.where(F.col("kind") == PAIRS)).union(contexts)).mapInArrow(_score(shards, z, discount), _SCORED)
+    return scored.select("doc_id", (F.col("train") == 0).alias("held_out"), F.col("n").alias("n_tokens"), "n_known", F.lit(z.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -66,7 +66,7 @@ def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 <> 1"), F.lit(True))
-    return katz.score(table(spark, sf_dir, "documents"), train)
+    return katz.score(table(spark, sf_dir, "documents"), train, least=1)
 
 
 QUERIES = {"op1_langid": op1_langid, "op2_chat": op2_chat, "op3_resample": op3_resample, "op4_sigtree": op4_sigtree, "op5_pieces": op5_pieces, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op8_pii": op8_pii, "op9_store": op9_store, "op10_katz": op10_katz}

@@ -416,6 +416,55 @@ def test_katz(spark, docs, empty):
     assert katz.score(empty, train).count() == 0
 
 
+def brute_katz(rows, held, least):
+    """By id: (n_known, score) where words of `least` training occurrences are types of their own."""
+    toks = [(i, [*SPACED.findall(low(t)), "</>"]) for i, t in rows]
+    c = collections.Counter(w for i, ws in toks if not held(i) for w in ws)
+    kind = lambda w: w if w == "</>" or c[w] >= least else "<rare>"
+    rare = [k for w, k in c.items() if kind(w) == "<rare>"]
+    uni = {w: k + 0.5 for w, k in c.items() if kind(w) == w} | {"<rare>": sum(rare) + 0.5}
+    norm = sum(uni.values())
+    big = collections.Counter(p for i, ws in toks if not held(i) for p in zip(["<s>", *map(kind, ws[:-1])], map(kind, ws), strict=True))
+    nr, d, follow, out = collections.Counter(big.values()), {}, collections.defaultdict(dict), {}
+    if all(nr[r] for r in range(1, 7)) and (spare := 6 * nr[6] / nr[1]) < 1:
+        d = {r: ((r + 1) * nr[r + 1] / nr[r] / r - spare) / (1 - spare) for r in range(1, 6)}
+    if not d or any(not 0 < x <= 1 for x in d.values()):
+        d = {r: (r - 0.5) / r for r in range(1, 6)}
+    for (u, w), k in big.items():
+        follow[u][w] = k
+    scale, alpha = {}, {}
+    for u, f in follow.items():
+        total, kept = sum(f.values()), sum(k * d.get(k, 1) for k in f.values())
+        scale[u] = 1 / (total + 0.5 if kept >= total else total)
+        alpha[u] = (1 - kept * scale[u]) / (1 - sum(uni[w] for w in f) / norm)
+    for i, ws in toks:
+        s, u = 0.0, "<s>"
+        for w in ws:
+            k = follow.get(u, {}).get(kind(w), 0)
+            s += math.log10(k * d.get(k, 1) * scale[u]) if k else math.log10(alpha.get(u, 1) * uni[kind(w)] / norm)
+            if kind(w) == "<rare>":
+                s += math.log10((c[w] + 0.5) / (sum(rare) + 0.5 * (len(rare) + 1)))
+            u = kind(w)
+        out[i] = sum(c[w] > 0 for w in ws), s
+    return out
+
+
+def test_katz_keeps_every_type(spark, docs):
+    """More types than 16 bits number, and words of one training occurrence, keep their own counts."""
+    from pyspark.sql import functions as F
+
+    words = [f"t{i}" for i in range(70_000)]
+    many = [(k, " ".join(words[k::7])) for k in range(7)] + [(10 + k, " ".join(words[k * 10_000 : (k + 1) * 10_000])) for k in range(7)] + [(-1, "t5 t6 t69999 new t7"), (-2, "t6 t5"), (-3, "t69990 t69991")]
+    big = spark.createDataFrame(many, "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") >= 0
+    for df, rows, least in ((big, many, 2), (docs, ROWS, 1), (docs, ROWS, 3)):
+        want = brute_katz(rows, lambda i: i < 0 or (df is docs and i % 3 == 1), least)
+        got = by_id(katz.score(df, train & (F.col("doc_id") % 3 != 1) if df is docs else train, least=least))
+        assert got.keys() == want.keys()
+        for i, (known, s) in want.items():
+            assert got[i].n_known == known and math.isclose(got[i].score, s, rel_tol=1e-9)
+
+
 def test_pipeline(spark, docs, tmp_path):
     """The stages, one by one, against what the operators say of the same rows."""
     import corpus_pipeline
