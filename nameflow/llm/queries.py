@@ -60,7 +60,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "ids")
-    store.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, end_id=2)
+    store.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, end_id=2, special=True)
     return store.digests(spark, folder)
 
 

@@ -25,6 +25,8 @@ number; other columns are ignored; an empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -110,13 +112,20 @@ def _byte_chars() -> dict[int, str]:
 
 class Tokenizer:
     """Byte-level BPE of a tokenizers file: the pieces are found with arrays, each distinct piece
-    is merged once per task by the library."""
+    is merged once per task by the library.  special: whether the text of a special token stands for
+    that token, as in the library's default setting, or is text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer as Lib
 
         self.lib = Lib.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = not special
+        added = {i: t for i, t in self.lib.get_added_tokens_decoder().items() if special or not t.special}
+        #: tokens that are cut out of a text before its pieces are found
+        self.added = {t.content: i for i, t in added.items()}
+        self.find = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        #: tokens with conditions on their surroundings are left to the library
+        self.plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
         self.model, self.chars = self.lib.model, _byte_chars()
         self.wide = self.lib.get_vocab_size() > 1 << 16
         self.cache = tx.WordCache(np.uint32 if self.wide else np.uint16)
@@ -124,23 +133,37 @@ class Tokenizer:
     def encode(self, part: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids per row)"""
         s = part.data.tobytes().decode("utf-8", "replace")
+        if not self.plain:
+            raw, at = part.data.tobytes(), part.offsets
+            found = [x.ids for x in self.lib.encode_batch([raw[at[i] : at[i + 1]].decode("utf-8", "replace") for i in range(len(part))], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], dtype=self.cache.dtype), np.array([len(x) for x in found], dtype=np.int64)
         cps = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         if len(cps) == len(part.data):
             first = part.offsets
         else:
             lead = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
             first = lead[part.offsets]
-        start = pretokens(cps, first)
+        if any(map(s.__contains__, self.added)):
+            within = [m.span() for lo, hi in itertools.pairwise(first.tolist()) for m in self.find.finditer(s, lo, hi)]
+        else:
+            within = []
+        marks = np.array(within, dtype=np.int64).reshape(-1, 2)
+        start = pretokens(cps, np.concatenate([first, marks.ravel()]))
+        if len(marks):  # a token is one piece
+            token = np.searchsorted(marks[:, 0], start, side="right") - 1
+            start = start[(token < 0) | (start == marks[token, 0]) | (start >= marks[token, 1])]
+        whole = np.isin(start, marks[:, 0])
         end = np.append(start[1:], len(cps))[: len(start)]
         values = _CP[cps & 0xFFFF]
         if len(cps) and int(cps.max()) > 0xFFFF:
             values = values + (cps >> 16).astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)
         h = tx.span_hashes(values, start, end)
+        h = np.where(whole, tx.mix(h + tx.U64(1)), h)
 
         def make(which: np.ndarray) -> list[list[int]]:
             out = []
-            for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True):
-                out.append([t.id for t in self.model.tokenize(s[a:b].encode().decode("latin-1").translate(self.chars))])
+            for a, b, token in zip(start[which].tolist(), end[which].tolist(), whole[which].tolist(), strict=True):
+                out.append([self.added[s[a:b]]] if token else [t.id for t in self.model.tokenize(s[a:b].encode().decode("latin-1").translate(self.chars))])
             return out
 
         ids, length = self.cache.ragged(self.cache.rows(h, make))
@@ -172,9 +195,9 @@ def chunk_ends(ids: np.ndarray, first: np.ndarray, bits: int = MASK_BITS, least:
     return out
 
 
-def _encoded(path: str, end_id: int):
+def _encoded(path: str, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, sent = Tokenizer(path), set()
+        tok, sent = Tokenizer(path, special), set()
         for b in batches:
             for part in tx.slices(b.column(1)):
                 ids, n = tok.encode(part)
@@ -247,11 +270,12 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([one(1, pa.int32()), one(part, pa.int32()), one(docs, pa.int64()), one(0, pa.int64()), one(at, pa.int64()), one(b"", pa.binary()), one(b"", pa.binary()), one(node.digest(), pa.binary())], names=[x.split()[0] for x in _RECIPE.split(", ")])
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every text with the tokenizers file at `path`, appends end_id, and writes the store."""
+def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> None:
+    """Encodes every text with the tokenizers file at `path`, appends end_id, and writes the store.
+    special: texts of special tokens become those tokens, as the library has it unless told otherwise."""
     spark = docs.sparkSession
     parts = parallelism(docs)
-    coded = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_encoded(path, end_id), _OBJECT)
+    coded = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_encoded(path, end_id, special), _OBJECT)
     with freed_shuffles(spark):
         coded.repartition(parts, "k0").mapInArrow(_once, _OBJECT).write.option("compression", "zstd").parquet(f"{folder}/objects")
         found = spark.read.schema(_OBJECT).parquet(f"{folder}/objects").where("kind = 1").select("doc_id", "n", "keys", "sizes")

@@ -363,6 +363,23 @@ def test_store(spark, docs, empty, tmp_path):
         store.digests(spark, f"{folder}-bad").count()
 
 
+def test_store_special_tokens(spark, tmp_path):
+    """Texts that quote special tokens, against the library in its default setting."""
+    from tokenizers import Tokenizer
+
+    e, r = "<|endoftext|>", random.Random(6)
+    texts = [f"a {e} b", e, f"{e}{e}", f"x{e}  's", f"  {e}\n\n{e}don{e}'t", "<|endo", f"ftext|>é {e[:-1]}", None, f"日本{e}😀 {e} ", f"<{e}|>"]
+    texts += ["".join(r.choice([e, "<|", "|>", " ", "a", "'s", "é", "\n", e[:5], e[5:]]) for _ in range(30)) for _ in range(40)]
+    tk, folder, at = Tokenizer.from_file(BYTE), str(tmp_path / "s"), 0
+    store.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), BYTE, folder, end_id=2, special=True)
+    got = sorted(map(tuple, store.digests(spark, folder).collect()))
+    for i, t in enumerate(texts):
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert tk.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     body = rng.integers(0, 50_000, 20_000).astype(np.uint16)
