@@ -5,8 +5,9 @@ with other separators or addresses with words in place of their marks.
 
 The model scores labelled segmentations: features of a whole candidate span (its shape with runs squeezed, digits,
 groups, separators, checks such as Luhn's, the words beside it) weigh for its type, outside tokens weigh for none.
-Entities hold at most MAX_TOKENS tokens and at least one digit or mark of an address, so a text falls into zones - runs of
-tokens around such characters - and outside them nothing is an entity; within a zone a dynamic program over ends and
+Entities hold at most 2 * MAX_TOKENS tokens and a digit, an @, or words for both marks of an address (`at`, and `dot` or a
+full stop), so a text falls into zones - runs of words around such seeds, and one word more on either side - and outside them
+nothing is an entity; entities of one or two tokens hold at least LEAST_DIGITS digits; within a zone a dynamic program over ends and
 lengths chooses boundaries and types jointly.  Training maximises the likelihood of segmentations of zones made from seeded
 templates (forward sums over the same lattice), on the driver and alike for every corpus.
 
@@ -34,7 +35,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MAX_TOKENS = 8
+MAX_TOKENS, LEAST_DIGITS = 12, 10
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -83,26 +84,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-#: Zones: words with a digit or a mark of an address, and the words beside and between them.
-_SEED = re.compile(r"\S*[0-9@]\S*|(?<!\S)[(\[{]?(?:at|AT|dot|DOT)[)\]}]?(?!\S)")
+#: Seeds of zones: words with a digit or a mark of an address, and words for such marks.
+_SEED = re.compile(r"(?<!\S)(?:\S*(?:[0-9@]|[(\[{](?i:at|dot)[)\]}])\S*|(?i:at|dot)(?!\S))")
+#: The word beside a zone; no part of an address is longer than 254.
+_NEXT, _PREVIOUS = re.compile(r"\s{1,8}\S{1,254}(?!\S)"), re.compile(r"(?<!\S)\S{1,254}\s{1,8}\Z")
+_AT = re.compile(r"\s*[(\[{]\s?at\s?[)\]}]\s*|\sat\s|@")
+_DOT = re.compile(r"\s*[(\[{]\s?(?i:dot)\s?[)\]}]\s*|\s(?i:dot)\s|\s\.\s")
+_ENDS = frozenset("com org net edu gov mil int info biz io co de fr es it nl eu uk us ca au ch at be pt pl se example".split())
+_COMMON = frozenset("the a an this that these those his her its our your my their on of in to and or is was were be for with from by it he she they we you i".split())
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _RUNS = re.compile(r"([aA9])\1+")
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of at most one plain word between seed words, with one word on either side."""
-    first = last = -1
+    """Runs of seed words with at most one plain word between, with one word on either side."""
+    done, first, last = 0, -1, -1
+
+    def widened(end: int) -> tuple[int, int]:
+        before, after = _PREVIOUS.search(text[max(done, first - 263) : first]), _NEXT.match(text, last, end)
+        return first - len(before[0]) if before else first, after.end() if after else last
+
     for m in _SEED.finditer(text):
-        if not any(c in "0123456789@" for c in m[0]) and first < 0:
-            continue
-        if first >= 0 and text.count(" ", last, m.start()) <= 2 and m.start() - last <= 32:
-            last = m.end()
-            continue
+        a = m.start()
         if first >= 0:
-            yield first, last
-        first, last = m.start(), m.end()
+            if a - last <= 271 and len(text[last:a].split()) <= 1:
+                last = m.end()
+                continue
+            zone = widened(a)
+            done = zone[1]
+            yield zone
+        first, last = a, m.end()
     if first >= 0:
-        yield first, last
+        yield widened(len(text))
 
 
 def span_features(text: str, a: int, b: int) -> list[str]:
@@ -113,12 +126,23 @@ def span_features(text: str, a: int, b: int) -> list[str]:
     low = s.lower()
     before = text[max(0, a - 1) : a]
     after = text[b : b + 1]
+    flat = _DOT.sub(".", low)
+    at = _AT.search(flat)
+    lead, name = (flat[: at.start()], flat[at.end() :]) if at else ("", "")
+    ends = name.rpartition(".")[2]
+    address = f"{bool(at)}{min(len(lead.split()), 3)}{min(len(name.split()), 3)}{'.' in name}{lead[:1].isalnum()}"
+    bare = bool(at) and not digits and at[0].strip() == "at"
+    common = bool(at) and any(w in _COMMON for w in (*lead.split(), *re.split(r"[\s.]+", name)))
+    # brackets in pairs, and no mark at either end
+    whole = all(s.count(x) == s.count(y) for x, y in ("()", "[]", "{}")) and not re.match(r"[(\[{]?\s?(?:at|dot)\b", low) and not re.search(r"\b(?:at|dot)\Z", low)
+    # words for a dot right before or after: the span is part of a longer address
+    part = bool(at) and (any(m.end() == len(x) for x in (text[max(0, a - 9) : a],) for m in _DOT.finditer(x)) or bool(_DOT.match(text, b)))
     sep = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", s))))[:4]
     return [
         f"shape={shape[:24]}", f"digits={min(digits, 20)}", f"groups={min(len(groups), 8)}", f"sep={sep}", f"lens={','.join(str(len(g)) for g in groups[:6])}",
         f"edge={before in ('', ' ') or before in '([<:;,'}{after == '' or not (after.isalnum())}", f"luhn={13 < digits < 20 and luhn(''.join(groups))}",
         f"octets={len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)}", f"alpha={digits * 2 < len(s)}",
-        f"at={'@' in s}{bool(re.search(r' ?[(\[{]? ?at ?[)\]}]? ?', low) and ' ' in s)}", f"dot={'.' in s}{bool(re.search(r'[ (\[{]dot[ )\]}]', low))}", f"plus={s[0] == '+'}", f"start={s[0].isalnum() or s[0] in '+('}", f"end={s[-1].isalnum()}",
+        f"at={'@' in s}{bool(re.search(r' ?[(\[{]? ?at ?[)\]}]? ?', low) and ' ' in s)}", f"dot={'.' in s}{bool(re.search(r'[ (\[{]dot[ )\]}]', low))}", f"plus={s[0] == '+'}", f"address={address}", f"ends={bool(at)}{ends in _ENDS}", f"bare={bare}{ends in _ENDS}{common}", f"stop={bool(at)}{'. ' in flat}{bare}", f"part={part}", f"whole={whole}{bool(at)}{part}", f"form={address}{whole and not part}{ends in _ENDS}{common}", f"zero={s[0] == '0'}{min(digits, 20)}", f"local={bool(re.fullmatch('[2-9][0-9]{2}[2-9][0-9]{6}', ''.join(groups)))}", f"start={s[0].isalnum() or s[0] in '+('}", f"end={s[-1].isalnum()}",
     ]
 
 
@@ -132,11 +156,15 @@ class SemiCrf:
         tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
         spans = {}
         for i in range(len(tokens)):
-            seen = False
+            seen, digits, marks = False, 0, set()
             for j in range(i, min(i + 2 * MAX_TOKENS, len(tokens))):
                 part = text[tokens[j][0] : tokens[j][1]]
-                seen = seen or part == "@" or any(c in "0123456789" for c in part)
-                if seen and j - i >= 2 and (part[-1].isalnum()) and (text[tokens[i][0]].isalnum() or text[tokens[i][0]] in "+("):
+                digits += sum(c in "0123456789" for c in part)
+                mark = part.lower()
+                if mark == "at" or (mark in ("dot", ".") and marks):
+                    marks.add("at" if mark == "at" else "dot")
+                seen = seen or part == "@" or digits > 0 or len(marks) == 2
+                if seen and (j - i >= 2 or digits >= LEAST_DIGITS) and (part[-1].isalnum()) and (text[tokens[i][0]].isalnum() or text[tokens[i][0]] in "+("):
                     spans[i, j + 1] = span_features(text, tokens[i][0], tokens[j][1])
         return tokens, spans
 
@@ -226,7 +254,7 @@ class SemiCrf:
         return self
 
 
-def examples(n: int = 500, seed: int = 23) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def examples(n: int = 1000, seed: int = 23) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Zones with known entities, from templates and numbers of no meaning, and zones without any."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvwz") for _ in range(r.randint(2, 9)))
@@ -239,27 +267,34 @@ def examples(n: int = 500, seed: int = 23) -> list[tuple[str, list[tuple[str, in
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def phone() -> str:
-        return r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}"))
+        return r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}", f"{num(3)} {num(7)}", f"0{num(4)} {num(6)}", f"{r.choice('23456789')}{num(2)}{r.choice('23456789')}{num(6)}"))
 
     def ip() -> str:
         o = [str(r.randint(0, 255)) for _ in range(4)]
         return r.choice((".", ".", "[.]", " . ")).join(o)
 
     def email() -> str:
-        at, dot = r.choice((("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("@", " . ")))
-        return f"{word()}.{num(2)}{at}{word()}{num(1)}{dot}{word()}" if r.random() < 0.6 else f"{word()}{num(1)}{at}{word()}{dot}{r.choice(('com', 'org', 'net'))}"
+        at, dot = r.choice((("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("@", " . "), (" AT ", " DOT "), (" (at) ", " (dot) "), (" at ", ".")))
+        end = r.choice(("com", "org", "net", "edu", "io", "de"))
+        if r.random() < 0.6:
+            return f"{word()}{r.choice(('', '.' + word(), '_' + word(), dot + word(), dot + word()))}{at}{word()}{r.choice(('', '', dot + word()))}{dot}{end}" if (at, dot) != ("@", ".") else f"{word()}{at}{word()} . {end}"
+        return f"{word()}.{num(2)}{at}{word()}{num(1)}{dot}{word()}" if r.random() < 0.6 else f"{word()}{num(1)}{at}{word()}{dot}{end}"
+
+    def prose() -> str:
+        few = lambda: r.choice(("the", "a", "his", "on", "of", "in", "to", "and", "is", "was", word(), word()))
+        return r.choice((f"{few()} at {few()}", f"{word()} at {word()}. {word()}", f"{few()} at {word()} {word()}", f"{few()} at the {word()} dot {few()}", f"{word()} at {r.choice(('the', 'a', 'his'))} dot {few()}", f"{word()} dot {word()}", f"{word()} at {num(1)}:{num(2)}", f"at {few()} {word()} at {few()} {word()}. {word()}", f"{word()} at {word()}, {num(2)}", f"{word()} at {num(4)}. {word()}"))
 
     def nothing() -> str:
         y, m, d = str(r.randint(1900, 2035)), f"{r.randint(1, 12):02}", f"{r.randint(1, 28):02}"
-        return r.choice((num(r.randint(1, 9)), f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{num(1)}.{num(1)}.{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"{num(3)}.{num(2)}", f"v{num(1)}.{num(2)}", f"{word()}{num(3)}", f"{num(2)}.{num(3)}.{num(2)}.", f"{word()}_{num(2)}_{word()}", f"{num(4)} {num(4)}", f"{num(4)}-{num(4)}", f"{word()}@{word()}", f"{num(16)}", f"{num(3)}-{num(2)}", "".join(r.choice("abcdef0123456789") for _ in range(r.choice((8, 16, 32))))))
+        return r.choice((num(r.randint(1, 9)), f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{num(1)}.{num(1)}.{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"{num(3)}.{num(2)}", f"v{num(1)}.{num(2)}", f"{word()}{num(3)}", f"{num(2)}.{num(3)}.{num(2)}.", f"1{num(9)}", f"{num(2)}.{num(1)}.{num(1)}.{r.randint(256, 999)}", f"{r.randint(256, 999)}.{num(2)}.{num(1)}.{num(2)}", f"{word()}_{num(2)}_{word()}", f"{num(4)} {num(4)}", f"{num(4)}-{num(4)}", f"{word()}@{word()}", f"{num(16)}", f"{num(3)}-{num(2)}", "".join(r.choice("abcdef0123456789") for _ in range(r.choice((8, 16, 32))))))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
     for _ in range(n):
         text, gold = word() + " " if r.random() < 0.5 else "", []
         for _ in range(r.randint(1, 2)):
-            kind = r.choice((*KINDS, None, None, None, None))
-            s = makers[kind]() if kind else nothing()
+            kind = r.choice((*KINDS, "email", None, None, None, None, None))
+            s = makers[kind]() if kind else nothing() if r.random() < 0.6 else prose()
             if kind:
                 gold.append((kind, len(text), len(text) + len(s)))
             text += s + r.choice((" ", ", ", ". ", "; ")) + (word() + " " if r.random() < 0.7 else "")

@@ -334,6 +334,31 @@ def test_segments_are_exact():
     assert right > 0.95 * gold and right > 0.95 * found
 
 
+def test_addresses_in_running_text():
+    """Zones hold whole addresses that words obfuscate, and held-out templates come back from sentences, ends included."""
+    m, r = pii.trained(), random.Random(5)
+    added = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, m)[1]]
+    assert added("write to jane at example dot com now") == [("email", "jane at example dot com")]
+    assert added("mail jane.doe [at] example [dot] org today") == [("email", "jane.doe [at] example [dot] org")]
+    assert added("mail jane7 at example dot com now") == [("email", "jane7 at example dot com")]
+    assert added("mail jane at example7 dot com now") == [("email", "jane at example7 dot com")]
+    assert added("reach jane(at)example(dot)com please") == [("email", "jane(at)example(dot)com")]
+    assert added("call 555 1234567 now") == [("phone", "555 1234567")] and added("call 5552345678 now") == [("phone", "5552345678")]
+    for t in ("he was at home. look at the dot on the map", "we met at noon, dot your i", "host 10.0.0.256 up", "order 1700000000 shipped at 12:30", "at the end of 1999 he was at sea"):
+        assert added(t) == []
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvwz") for _ in range(r.randint(2, 9)))
+    right = 0
+    for _ in range(200):
+        at, dot = r.choice(((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) ")))
+        s = word() + r.choice(("", "." + word(), dot + word())) + at + word() + r.choice(("", dot + word())) + dot + r.choice(("com", "org", "net"))
+        t = f"{word()} {word()} {s} {word()} {word()} at {word()}"
+        right += added(t) == [("email", s)]
+    assert right > 190
+    for t in ("x" * 5000 + "1 at", "at " * 50, "7", " dot at 5 ", "a\n\nat\t\tb dot c"):
+        z = list(pii.zones(t))
+        assert all(0 <= a < b <= len(t) for a, b in z) and all(x[1] <= y[0] for x, y in zip(z, z[1:]))
+
+
 def test_store(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
