@@ -5,9 +5,9 @@ buckets) are estimated: one of target text, one of all raw text.  A document's l
 ratio of the two likelihoods.  With independent Gumbel noise added to the log weights, the k largest keys
 are a sample of k documents without replacement in proportion to the weights.
 
-The raw model counts every document.  The target model counts labelled rows of quality 1 that are not toxic; at
-most MAX_LABELLED labelled rows are used, those of the lowest hash of their id.  k is the share of the raw documents that the
-labels say is target.  The k-th largest key is found exactly by counting keys in ever finer ranges, so
+The raw model counts every document.  The target model counts labelled rows of quality 1 that are not toxic; it is
+fitted on at most MAX_LABELLED labelled rows, those of the lowest hash of their id.  k is the share of the raw documents that all
+labels together say is target.  The k-th largest key is found exactly by counting keys in ever finer ranges, so
 nothing is sorted in one task.
 
 Defined results: null and empty texts have weight 0 before noise; rows of a null id have noise of
@@ -111,9 +111,10 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, max_labelled:
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled)
-    stats = sample.agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good")).first()
+    # the share is that of all labels; the sample only bounds what the target model is fitted on
+    stats = known.agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good")).first()
     target = docs.join(F.broadcast(sample.where("good").select("doc_id").distinct()), "doc_id", "left_semi")
-    ratio = model(target.select("text")) - model(docs.select("text")) if stats.good else np.zeros(BUCKETS)
+    ratio = model(target.select("text")) - model(docs.select("text")) if stats.good and sample.where("good").limit(1).count() else np.zeros(BUCKETS)
     scored = written(weights(docs, ratio).withColumn("key", F.col("log_weight") + gumbel(docs, seed)), shared_folder(spark, "weights"))
     total = scored.count()
     k = round(total * (stats.good or 0) / stats.n) if stats.n else total

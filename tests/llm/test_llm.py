@@ -150,6 +150,13 @@ def test_resampling(spark, docs, empty):
         assert v == want[k - 1] and n == k - sum(x > v for x in want)
 
 
+def test_share_is_of_all_labels(spark, docs):
+    """The number of selected rows does not depend on the sample that the target model is fitted on."""
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    for most in (1, 7, 160):
+        assert sum(x.selected for x in resample.resample(docs, labels, max_labelled=most).collect()) in (round(len(ROWS) / 4), round(len(ROWS) / 4) + 1)  # a repeated row may tie at the edge
+
+
 @pytest.mark.parametrize("chunk", [4000, 12])
 def test_jaccard(spark, docs, empty, chunk, monkeypatch):
     monkeypatch.setattr(sigtree, "CHUNK", chunk)
