@@ -14,11 +14,18 @@ gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = "[\\x20\\x09-\\x0D]+"
+WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
+#: Characters outside letters, digits and white space (the plain ones first, which decides most).
+MARKS = "[^A-Za-z0-9\\x20\\x09-\\x0D\\p{L}\\p{M}\\p{N}]"
+SEPARATORS = "[|»›•·]| > | / "
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     "all rights reserved", "copyright (c)", "copyright ©", "cookie policy", "we use cookies", "accept cookies", "privacy policy",
@@ -27,6 +34,8 @@ BOILERPLATE = (
 )
 #: Words of navigation, in lower case; a line of these and separators alone is navigation.
 NAVIGATION = ("home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "sitemap", "faq", "help", "blog", "news", "shop", "cart", "account")
+#: A line of such words alone.  Possessive throughout: Java's regex engine would recurse once a word otherwise.
+LINKS = f"^[\\s|»›•·>/,-]*+(?:(?:{'|'.join(NAVIGATION)})(?:[\\s|»›•·>/,-]++|$))++$"
 #: A line fails with more symbols than words, or so many of its characters outside letters, digits and white space (percent).
 MOST_SYMBOLS_PER_WORD = 1
 MOST_MARKS_PERCENT = 40
@@ -48,104 +57,114 @@ def words(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, SPACES, ""))
+    for space in " \t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return F.char_length(text)
 
 
 def n_words(text: Column) -> Column:
-    """Words of a text, without building them."""
-    t = F.regexp_replace(text, SPACES, " ")
-    return bound(F.trim(t), lambda x: F.when(x == "", 0).otherwise(F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def repeat_words(ws: Column) -> Column:
     """Words in five-word windows that occur at least twice, the first occurrence included."""
 
     def windows(h: Column) -> Column:
-        n = F.size(h) - 4
-        keyed = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(*(F.element_at(h, i + k) for k in range(5))).alias("h"), i.alias("i")))
-        return F.when(n > 0, bound(F.array_sort(keyed), counted)).otherwise(0)
+        at = F.sequence(F.lit(0), F.size(h) - 5)
+        return bound(F.transform(at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(5)))), repeated)
+
+    def repeated(w: Column) -> Column:
+        # most texts repeat nothing: a hash set tells, without sorting
+        placed = F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(bound(F.sort_array(placed), counted))
 
     def counted(s: Column) -> Column:
-        at = lambda i: F.get(s, i)["h"]
-        twice = F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (F.coalesce(at(i) == at(i - 1), F.lit(False))) | (F.coalesce(at(i) == at(i + 1), F.lit(False)))),
-            lambda i: F.get(s, i)["i"],
-        )
-        return bound(F.array_sort(twice), covered)
+        same = lambda i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
+        twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1))
+        return bound(F.sort_array(F.transform(twice, lambda i: F.get(s, i)["i"])), covered)
 
     def covered(p: Column) -> Column:
-        steps = F.aggregate(F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(5)), F.lit(5))), F.lit(0), lambda acc, x: acc + x)
-        return F.when(F.size(p) == 0, 0).otherwise(steps)
+        after = F.slice(p, 2, F.greatest(F.size(p), F.lit(1)))
+        steps = F.zip_with(p, after, lambda a, b: F.least(F.coalesce(b - a, F.lit(5)), F.lit(5)))
+        return F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
 
     return F.when(F.size(ws) < 6, 0).otherwise(bound(F.transform(ws, lambda w: F.xxhash64(w)), windows))
 
 
-def dup_lines(text: Column) -> Column:
+def dup_lines(lines: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
-    return bound(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))
+    return bound(F.filter(lines, lambda s: s.rlike(WORD)), lambda s: F.size(s) - F.size(F.array_distinct(s)))
 
 
 def line_fails(s: Column) -> Column:
     """punctuation: more symbols than words, or mostly marks; navigation: separated links, or nothing but words of
-    navigation; boilerplate: a known phrase in a short line"""
-    low = F.lower(s)
-    n = n_words(s)
-    symbols = F.regexp_count(s, F.lit(SYMBOLS))
-    marks = F.regexp_count(s, F.lit("[^\\p{L}\\p{M}\\p{N}\\x20\\x09-\\x0D]"))
-    separators = F.regexp_count(s, F.lit("[|»›•·]| > | / "))
-    links = f"^[\\s|»›•·>/,-]*((?:{'|'.join(NAVIGATION)})(?:[\\s|»›•·>/,-]+|$))+$"
-    phrases = "|".join(f"\\Q{p}\\E" for p in BOILERPLATE)
-    return bound(
-        n,
-        lambda k: (k > 0)
-        & (
-            (symbols > MOST_SYMBOLS_PER_WORD * k) | (marks * 100 > MOST_MARKS_PERCENT * word_chars(s))
-            | ((separators >= LEAST_SEPARATORS) & (k <= WORDS_PER_SEPARATOR * (separators + 1) + separators)) | low.rlike(links)
-            | ((k <= BOILERPLATE_WORDS) & low.rlike(phrases))
-        ),
-    )
-
-
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `rules`: the base counts, base_failed, the cleaned text, n_lines_removed,
+    navigation; boilerplate: a known phrase in a short line.
+
+    Every rule begins with the cheap half of its condition, so words are counted in few lines."""
+    too_many = lambda n: (n > 0) & (n > MOST_SYMBOLS_PER_WORD * n_words(s))
+    links = lambda n: (n >= LEAST_SEPARATORS) & (n_words(s) <= WORDS_PER_SEPARATOR * (n + 1) + n)
+    marked = lambda n: (n > 0) & (n * 100 > MOST_MARKS_PERCENT * word_chars(s))
+    phrase = lambda low: functools.reduce(operator.or_, (low.contains(p) for p in BOILERPLATE))
+    return (
+        bound(F.regexp_count(s, F.lit(SYMBOLS)), too_many)
+        | bound(F.regexp_count(s, F.lit(MARKS)), marked)
+        | bound(F.regexp_count(s, F.lit(SEPARATORS)), links)
+        | bound(F.lower(s), lambda low: low.rlike(LINKS) | (phrase(low) & (n_words(s) <= BOILERPLATE_WORDS)))
+    )
+
+
+def rules(text: Column) -> Column:
+    """A struct of a text (null: empty): the base counts, base_failed, the cleaned text, n_lines_removed,
     loss_percent (of word characters) and kept."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def whole(t: Column) -> Column:
-        def cleaned(lines: Column) -> Column:
-            return bound(F.filter(lines, lambda s: ~line_fails(s)), lambda good: F.struct(F.array_join(good, "\n").alias("text"), (F.size(lines) - F.size(good)).cast("bigint").alias("removed")))
+    def counted(t: Column, lines: Column) -> Column:
+        def about_words(ws: Column) -> Column:
+            return F.struct(F.size(ws).cast("bigint").alias("n_words"), repeat_words(ws).cast("bigint").alias("n_repeat_words"))
+
+        def cleaned(good: Column) -> Column:
+            removed = (F.size(lines) - F.size(good)).cast("bigint")
+            return F.struct(F.when(removed == 0, t).otherwise(F.array_join(good, "\n")).alias("text"), removed.alias("removed"))
 
         return F.struct(
-            bound(words(t), lambda ws: F.struct(F.size(ws).cast("bigint").alias("n_words"), repeat_words(ws).cast("bigint").alias("n_repeat_words"))).alias("w"),
-            word_chars(t).cast("bigint").alias("word_chars"), F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), dup_lines(t).cast("bigint").alias("n_dup_lines"),
-            bound(F.split(t, "\\n"), cleaned).alias("c"),
-        )
+            bound(words(t), about_words).alias("w"),
+            word_chars(t).cast("bigint").alias("word_chars"),
+            F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+            dup_lines(lines).cast("bigint").alias("n_dup_lines"),
+            bound(F.filter(lines, lambda s: ~line_fails(s)), cleaned).alias("c"),
+        )
 
-    def verdict(r: Column) -> Column:
-        n, repeated = r["w"]["n_words"], r["w"]["n_repeat_words"]
+    def left(r: Column) -> Column:
+        """Word characters and words of the cleaned text"""
+        whole, text = r["c"]["removed"] == 0, r["c"]["text"]
+        return F.struct(
+            F.when(whole, r["word_chars"]).otherwise(word_chars(text).cast("bigint")).alias("chars"),
+            F.when(whole, r["w"]["n_words"]).otherwise(n_words(text).cast("bigint")).alias("words"),
+        )
+
+    def verdict(r: Column, k: Column) -> Column:
+        n, repeated, chars = r["w"]["n_words"], r["w"]["n_repeat_words"], r["word_chars"]
         failed = (n < 10) | (100 * repeated > 20 * n)
-        left = word_chars(r["c"]["text"]).cast("bigint")
-        return bound(
-            left,
-            lambda k: F.struct(
-                n.alias("n_words"), r["word_chars"].alias("word_chars"), r["n_symbols"].alias("n_symbols"), r["n_dup_lines"].alias("n_dup_lines"), repeated.alias("n_repeat_words"),
-                failed.alias("base_failed"), r["c"]["text"].alias("clean_text"), r["c"]["removed"].alias("n_lines_removed"),
-                F.coalesce(100.0 * (r["word_chars"] - k) / F.nullif(r["word_chars"], F.lit(0)), F.lit(0.0)).alias("loss_percent"),
-                (~failed & (100 * (r["word_chars"] - k) <= MOST_LOSS_PERCENT * r["word_chars"]) & (n_words(r["c"]["text"]) >= LEAST_WORDS)).alias("kept"),
-            ),
+        lost = chars - k["chars"]
+        return F.struct(
+            n.alias("n_words"), chars.alias("word_chars"), r["n_symbols"].alias("n_symbols"), r["n_dup_lines"].alias("n_dup_lines"),
+            repeated.alias("n_repeat_words"), failed.alias("base_failed"), r["c"]["text"].alias("clean_text"), r["c"]["removed"].alias("n_lines_removed"),
+            F.coalesce(100.0 * lost / F.nullif(chars, F.lit(0)), F.lit(0.0)).alias("loss_percent"),
+            (~failed & (100 * lost <= MOST_LOSS_PERCENT * chars) & (k["words"] >= LEAST_WORDS)).alias("kept"),
         )
 
-    return docs.withColumn("rules", bound(bound(text, whole), verdict))
+    whole = lambda t: bound(F.split(t, "\n"), lambda lines: counted(t, lines))
+    return bound(bound(F.coalesce(text, F.lit("")), whole), lambda r: bound(left(r), lambda k: verdict(r, k)))
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are kept, with their cleaned text, and the columns they came with."""
-    judged = judge(docs, text_col).where("rules.kept")
-    return judged.withColumn(text_col, F.col("rules.clean_text")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a generator, unlike a filter, is not pushed below the expression it reads, so the rules run once
+    kept = F.explode(F.filter(F.array(rules(F.col(f"`{text_col}`"))), lambda r: r["kept"]))
+    judged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"), kept.alias("rules"))
+    return judged.select(*((F.col("rules.clean_text") if c == text_col else F.col("given")[c]).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    r = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return judge(given).select("doc_id", *(F.col(f"rules.{c}").alias(c) for c in r))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
+    judged = docs.select(F.col(id_col).alias("doc_id"), rules(F.col(text_col)).alias("rules"))
+    return judged.select("doc_id", *(F.col(f"rules.{c}").alias(c) for c in shown))
