@@ -49,7 +49,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return nodes[keep], root[keep]
 
     for b in batches:
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        u, v = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        some = ~np.asarray(b.column(0).is_null()) & ~np.asarray(b.column(1).is_null())
+        some &= u != v
+        held.append((u[some].astype(np.int64), v[some].astype(np.int64)))
         if sum(len(h[0]) for h in held) > SMALL_EDGES:
             held = [star()]
             if len(held[0][0]) > SMALL_EDGES // 2:
@@ -60,13 +63,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 64, before=None) -> DataFrame:
     """edges (u, v bigint) -> (node, component): the smallest node that each node is connected with.
-    Nodes without edges to others, and smallest nodes themselves, do not appear.  Null ends are ignored."""
-    spark = edges.sparkSession
-    folder = shared_folder(spark, name)
+    Nodes without edges to others, and smallest nodes themselves, do not appear.  Null ends are ignored.
+    before: makes edges out of the Arrow batches of `edges`, in the task (and Python worker) that contracts them."""
+    folder = shared_folder(edges.sparkSession, name)
     kind = "u bigint, v bigint"
-    pairs = written(edges.where("u <> v").select("u", "v").mapInArrow(_stars, kind), f"{folder}/0")
+    contract = _stars if before is None else lambda batches: _stars(before(batches))
+    given = edges.select("u", "v") if before is None else edges
+    pairs = written(given.mapInArrow(contract, kind), f"{folder}/0")
     for k in range(1, most_rounds):
         if pairs.count() <= SMALL_EDGES:
             return written(pairs.coalesce(1).mapInArrow(_stars, kind), f"{folder}/last").toDF("node", "component")

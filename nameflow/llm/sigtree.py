@@ -12,8 +12,10 @@
 4. In a block the sets are leaves of a signature tree.  A node holds its subtree's range of set sizes and its
    OR-combined bitmap of hashed shingles, with the highest multiplicity per bit.  A dual traversal drops pairs of
    nodes whose sizes are too far apart, whose bitmaps cannot overlap enough, or whose documents are
-   all one component already; what reaches the leaves is compared exactly.  Blocks larger than
-   CHUNK are cut by set size and into chunks, and pairs of chunks are joined in tasks of their own.
+   all one component already; what reaches the leaves is compared exactly.  It goes depth first over batches of PAIRS
+   node pairs, so its memory does not grow with the pairs.  Blocks of more than CHUNK sets or CHUNK_TOKENS shingles
+   are cut by set size and lowest shingle into chunks; a chunk's root is a node like any other, pairs of roots
+   that may overlap enough are found first, and only those chunks are joined, each pair in a task of its own.
 5. The links, a spanning forest of each block, give the components.
 
 Defined results: null and empty texts have an empty set, link with nothing and are their own
@@ -33,12 +35,19 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .blobs import pack, steps, totals, unpack
 from .components import components
-from .shared import parallelism, shared_folder, written
+from .shared import parallelism, session, shared_folder, split_join, written
 
-#: Sets per task side beyond which a block is cut.
-CHUNK = 4000
-BINS = 512
+#: Sets, and shingles of them, per task side beyond which a block is cut.
+CHUNK, CHUNK_TOKENS = 4000, 2_000_000
+#: Bits of a chunk's root; in a task's own tree they follow the sizes of its sets.
+ROOT_BINS = 4096
 FANOUT = 8
+#: Pairs of nodes that are looked at together.
+PAIRS = 4096
+#: Shingles that a task sends off together.
+BUNDLE = 1_500_000
+#: Tasks over which the pairs of roots of one block are dealt.
+ROOT_SALTS = 16
 
 
 class Threshold:
@@ -105,17 +114,27 @@ def _send(shards: int, tokens: np.ndarray, owner: np.ndarray, **more: np.ndarray
 
 
 def _prefixes(n: int, limit: Threshold, shards: int):
+    """Blobs (shard, prefix shingles with their classes) of the distinct sets of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def bundle() -> pa.RecordBatch:
+            tokens, take, fa, fb, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            got = list(_send(shards, tokens, np.repeat(np.arange(len(take)), take), fa=fa, fb=fb, n=size))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "blob"])
+
         for b in batches:
             for part in tx.slices(b.column(0)):
                 g, first = sets(part, n)
-                fa, _ = set_fingerprints(g, first)
+                fa, fb = set_fingerprints(g, first)
                 size = np.diff(first)
-                if len(sent) > 2_000_000:
+                if len(sent) > 1_000_000:
                     sent.clear()
                 rows = []
-                for k, f in enumerate(fa.tolist()):
+                for k, f in enumerate(zip(fa.tolist(), fb.tolist(), strict=True)):
                     if size[k] and f not in sent:
                         sent.add(f)
                         rows.append(k)
@@ -123,10 +142,11 @@ def _prefixes(n: int, limit: Threshold, shards: int):
                     continue
                 rows = np.array(rows)
                 take, _ = limit.prefix(size[rows])
-                tokens = tx.gather(g, first[rows], take)
-                owner = np.repeat(np.arange(len(rows)), take)
-                got = list(_send(shards, tokens, owner, fa=fa[rows], n=size[rows]))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "blob"])
+                held.append((tx.gather(g, first[rows], take), take, fa[rows], fb[rows], size[rows]))
+                if sum(len(h[0]) for h in held) > BUNDLE:
+                    yield bundle()
+        if held:
+            yield bundle()
 
     return run
 
@@ -139,25 +159,39 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fa, n, shared): how many of a class's prefix shingles of these shards other classes have too."""
-    blobs = [(s, unpack(x)) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    by: dict[int, list] = {}
-    for s, x in blobs:
-        by.setdefault(s, []).append(x)
+    """(fa, fb, n, shared): how many of a class's prefix shingles of these shards other classes have too."""
+    by: dict[int, list[bytes]] = {}
+    for b in batches:
+        for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            by.setdefault(s, []).append(x)
     for s in list(by):
-        group = by.pop(s)
-        key = np.concatenate([totals(x["key"]) for x in group])
-        fa = np.concatenate([x["fa"].astype(np.int64)[x["owner"]] for x in group])
-        n = np.concatenate([x["n"][x["owner"]] for x in group])
-        order = np.lexsort((fa, key))
-        key, fa, n = key[order], fa[order], n[order]
+        key, owner, classes = _numbered(by.pop(s))
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
         keep = np.ones(len(key), dtype=bool)
-        keep[1:] = (key[1:] != key[:-1]) | (fa[1:] != fa[:-1])
-        key, fa, n = key[keep], fa[keep], n[keep]
+        keep[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[keep], owner[keep]
         run, first = _runs(key)
         several = np.diff(np.append(first, len(key)))[run] > 1
-        fa, at, count = np.unique(fa[several], return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(fa), pa.array(n[several][at]), pa.array(count, pa.int64())], names=["fa", "n", "shared"])
+        count = np.bincount(owner[several], minlength=len(classes))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([*(pa.array(classes[f][some]) for f in ("fa", "fb", "n")), pa.array(count[some], pa.int64())], names=["fa", "fb", "n", "shared"])
+
+
+def _numbered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, number of its class) of every entry of a shard, and the classes"""
+    parts, at = [], 0
+    kind = [("fa", np.int64), ("fb", np.int64), ("n", np.int64)]
+    for x in blobs:
+        got = unpack(x)
+        own = np.empty(len(got["fa"]), kind)
+        for f, _ in kind:
+            own[f] = got[f].astype(np.int64)
+        parts.append((totals(got["key"]).astype(np.uint32), (got["owner"] + at).astype(np.int32), own))
+        at += len(own)
+    classes, number = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    owner = np.concatenate([p[1] for p in parts])
+    return np.concatenate([p[0] for p in parts]), number.astype(np.int32)[owner], classes
 
 
 _SLICE = "slice bigint, ids binary, blob binary"
@@ -269,15 +303,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(edge[0]), pa.array(edge[1])], names=["u", "v"])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, n, x) of every survivor; x: how far its lowest shingle lies in the distribution of the lowest of n, so alike
+    for near copies, and even over 0 to 1 for others."""
+    for b in batches:
+        for ids, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            g, first = _unpack_sets(blob)
+            n = np.diff(first)
+            lowest = g[first[:-1]].astype(np.float64) / 2.0**64
+            x = -np.expm1(n * np.log1p(-np.minimum(lowest, 1 - 1e-12)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, dtype="<i8")), pa.array(n), pa.array(x)], names=["u", "n", "x"])
+
+
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, n, tokens) of every survivor."""
+    """(u, tokens) of every survivor."""
     for b in batches:
         for ids, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             g, first = _unpack_sets(blob)
             ids = np.frombuffer(ids, dtype="<i8")
             raw = pa.py_buffer(np.ascontiguousarray(g, dtype="<u8"))
             tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(first * 8), raw]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(first)), tokens], names=["u", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), tokens], names=["u", "tokens"])
 
 
 class SignatureTree:
@@ -294,18 +340,34 @@ class SignatureTree:
     def possible(self, level: int, i: np.ndarray, j: np.ndarray, limit: Threshold) -> np.ndarray:
         """Whether a pair of sets under the nodes i and j may link."""
         low, high, bits = self.low[level], self.high[level], self.bits[level]
-        need = np.maximum(limit.overlap(low[i] + low[j]), np.maximum(limit.least(low[i]), limit.least(low[j])))
+        need = needed(low[i], low[j], limit)
         ok = np.minimum(high[i], high[j]) >= need
-        for a in range(0, len(i), 16384):
-            k = np.flatnonzero(ok[a : a + 16384]) + a
+        step = max(1, (1 << 22) // bits.shape[1])
+        for a in range(0, len(i), step):
+            k = np.flatnonzero(ok[a : a + step]) + a
             ok[k] = np.minimum(bits[i[k]], bits[j[k]]).sum(axis=1, dtype=np.int64) >= need[k]
         return ok
 
 
+def needed(low_i: np.ndarray, low_j: np.ndarray, limit: Threshold) -> np.ndarray:
+    """Shingles in common that sets of so many at least need."""
+    return np.maximum(limit.overlap(low_i + low_j), np.maximum(limit.least(low_i), limit.least(low_j)))
+
+
+def bitmaps(tokens: list[np.ndarray], n: np.ndarray, bins: int) -> np.ndarray:
+    """[set, bit]: how many of a set's shingles hash to each bit"""
+    cell = np.repeat(np.arange(len(tokens)) * bins, n) + (tx.mix(np.concatenate(tokens)) % tx.U64(bins)).astype(np.int64)
+    return np.bincount(cell, minlength=len(tokens) * bins).reshape(-1, bins).astype(np.uint16 if n.max() < 65536 else np.uint32)
+
+
 def block_links(tokens: list[np.ndarray], limit: Threshold, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sorted token sets.  cross: with it, only pairs of unequal
     values need to be linked (others are another task's)."""
+    # near sets side by side: by their lowest shingles
+    order = np.array(sorted(range(len(tokens)), key=lambda k: tokens[k][:2].tolist()))
+    tokens = [tokens[k] for k in order.tolist()]
     n = np.array([len(t) for t in tokens], dtype=np.int64)
+    side = cross[order] if cross is not None else None
     root = list(range(len(tokens)))
     out: list[tuple[int, int]] = []
 
@@ -326,53 +388,51 @@ def block_links(tokens: list[np.ndarray], limit: Threshold, cross: np.ndarray |
             root[max(a, b)] = min(a, b)
             out.append((x, y))
 
-    if len(tokens) <= 24:
-        for x in range(len(tokens)):
-            for y in range(x):
-                if cross is None or cross[x] != cross[y]:
-                    join(x, y)
-        return out
-    # near sets side by side: by their lowest shingles
-    order = np.array(sorted(range(len(tokens)), key=lambda k: tokens[k][:2].tolist()))
-    n, tokens = n[order], [tokens[k] for k in order.tolist()]
-    side = cross[order] if cross is not None else None
-    cell = np.repeat(np.arange(len(tokens)) * BINS, n) + (tx.mix(np.concatenate(tokens)) % tx.U64(BINS)).astype(np.int64)
-    bits = np.bincount(cell, minlength=len(tokens) * BINS).reshape(-1, BINS).astype(np.uint16 if n.max() < 65536 else np.uint32)
-    tree = SignatureTree(n, bits)
-    for x in range(1, len(tokens)):
-        join(x, x - 1)
-        if x % FANOUT == 0 and x >= FANOUT:
-            join(x, x - FANOUT)
-        if find(x) != find(0):
-            join(x, 0)
-    level = len(tree.low) - 1
-    i, j = np.triu_indices(len(tree.low[level]))
-    while True:
-        own = np.array([find(x) for x in range(len(tokens))])
-        # nodes whose sets are one component, or -1
-        label = own
+    def labels(level: int) -> np.ndarray:
+        """The component of each node's sets, or -1 if they have several"""
+        label = np.array(root)
+        while (label != (up := label[label])).any():
+            label = up
         for _ in range(level):
             cut = np.arange(0, len(label), FANOUT)
             lo, hi = np.minimum.reduceat(label, cut), np.maximum.reduceat(label, cut)
             label = np.where(lo == hi, lo, -1)
+        return label
+
+    # twice the mean size in bits keeps chance overlaps low, whatever the sets' sizes
+    tree = SignatureTree(n, bitmaps(tokens, n, 1 << max(6, int(2 * n.mean()).bit_length())))
+    if len(tokens) > FANOUT:
+        # links between neighbours first: what is one component needs no further look
+        for x in range(1, len(tokens)):
+            join(x, x - 1)
+            if x % FANOUT == 0 and x >= FANOUT:
+                join(x, x - FANOUT)
+            if find(x) != find(0):
+                join(x, 0)
+    a, b = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
+    level = len(tree.low) - 1
+    todo = [(level, *np.triu_indices(len(tree.low[level])))]
+    while todo:
+        level, i, j = todo.pop()
+        if len(i) > PAIRS:
+            todo.append((level, i[PAIRS:], j[PAIRS:]))
+            i, j = i[:PAIRS], j[:PAIRS]
+        label = labels(level)
         keep = (label[i] != label[j]) | (label[i] < 0)
         i, j = i[keep], j[keep]
         keep = tree.possible(level, i, j, limit)
         i, j = i[keep], j[keep]
-        if not level:
-            break
-        level -= 1
-        below = len(tree.low[level])
-        a, b = np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij")
-        x = (i[:, None] * FANOUT + a.ravel()[None, :]).ravel()
-        y = (j[:, None] * FANOUT + b.ravel()[None, :]).ravel()
-        keep = (x < below) & (y < below) & (x <= y)
-        i, j = x[keep], y[keep]
-    keep = i != j
-    if side is not None:
-        keep &= side[i] != side[j]
-    for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-        join(x, y)
+        if level:
+            x, y = (i[:, None] * FANOUT + a).ravel(), (j[:, None] * FANOUT + b).ravel()
+            below = len(tree.low[level - 1])
+            keep = (x < below) & (y < below) & (x <= y)
+            todo.append((level - 1, x[keep], y[keep]))
+            continue
+        keep = i != j
+        if side is not None:
+            keep &= side[i] != side[j]
+        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            join(x, y)
     return [(int(order[x]), int(order[y])) for x, y in out]
 
 
@@ -409,62 +469,115 @@ def _join_blocks(limit: Threshold):
     return run
 
 
-def _block_tasks(members: DataFrame, limit: Threshold) -> DataFrame:
-    """members (u, n, block) -> (u, task, side): the tasks that a set takes part in.  Sides: equal
+_ROOT = "block bigint, chunk string, grade int, low bigint, high bigint, bits binary"
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, chunk, grade, tokens), those of a chunk together: its root's range of sizes and bitmap."""
+    key, low, high, bits = None, 0, 0, None
+
+    def row() -> pa.RecordBatch:
+        (block, chunk, grade), types = key, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        values = (block, chunk, grade, low, high, bits.astype("<u2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[x.split()[0] for x in _ROOT.split(", ")])
+
+    for b in batches:
+        for block, chunk, grade, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if (block, chunk, grade) != key:
+                if key:
+                    yield row()
+                key, low, high, bits = (block, chunk, grade), 1 << 60, 0, np.zeros(ROOT_BINS, np.int64)
+            own = np.frombuffer(t, dtype="<u8")
+            low, high = min(low, len(own)), max(high, len(own))
+            # a root holds multiplicities up to 65535; a bit beyond that counts as full for any pair
+            more = np.bincount((tx.mix(own) % tx.U64(ROOT_BINS)).astype(np.int64), minlength=ROOT_BINS)
+            bits = np.maximum(bits, np.minimum(more, 65535))
+    if key:
+        yield row()
+
+
+def _root_pairs(limit: Threshold):
+    """Rows (block, a, b, and both roots): the pairs of chunks whose roots may overlap enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low_a, high_a, low_b, high_b = (b.column(k).to_numpy() for k in (3, 4, 6, 7))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u2").reshape(-1, ROOT_BINS) for k in (5, 8))
+            both = np.minimum(x, y)
+            need = needed(low_a, low_b, limit)
+            ok = (np.minimum(high_a, high_b) >= need) & ((both.sum(axis=1, dtype=np.int64) >= need) | (both == 65535).any(axis=1))
+            yield b.select([0, 1, 2]).filter(pa.array(ok))
+
+    return run
+
+
+def _block_tasks(members: DataFrame, single: DataFrame, limit: Threshold, shards: int, folder: str) -> DataFrame:
+    """members (u, n, x, block) -> (task, u, side, tokens): the sets of every task.  Sides: equal
     0: all pairs of the task; 1 and 2: pairs of unequal sides."""
     ratio = 100 / limit.p
     grade = F.floor(F.log(ratio, F.col("n").cast("double")) + F.lit(1e-9)).cast("int")
     sized = members.withColumn("grade", grade)
-    count = sized.groupBy("block").agg(F.count("*").alias("all"))
-    cells = sized.groupBy("block", "grade").agg(F.count("*").alias("cell"))
-    big = cells.join(count.where(F.col("all") > CHUNK), "block").select("block", "grade", F.ceil(F.col("cell") / CHUNK).cast("int").alias("q"))
+    pieces = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_TOKENS)).cast("int")
+    counted = lambda df, by, name: written(df.groupBy(*by).agg(pieces.alias(name), F.count("*").alias("all")), f"{folder}/{name}")
+    blocks = counted(sized, ["block"], "pieces")
+    sized = split_join(sized, blocks.where("all > 1"), ["block"], "all").drop("all")
+    whole = sized.where("pieces = 1").select("u", F.col("block").cast("string").alias("task"), F.lit(0).alias("side"))
+    whole = whole.join(single, "u").select("task", "u", "side", "tokens")
+    if not blocks.where("pieces > 1").limit(1).count():
+        return whole
+    # by size, then by lowest shingle, then (many sets of one lowest shingle) by id
+    big = sized.where("pieces > 1").drop("pieces")
+    cell = ["block", "grade"]
+    big = split_join(big, counted(big, cell, "q"), cell, "all").drop("all").withColumn("slot", F.least(F.floor(F.col("x") * F.col("q")), F.col("q") - 1).cast("int"))
+    cell = ["block", "grade", "slot"]
+    big = split_join(big, counted(big, cell, "r"), cell, "all")
+    chunk = F.concat_ws(":", "grade", "slot", F.pmod(F.xxhash64("u"), F.col("r")))
+    cut = written(big.select("u", "block", "grade", chunk.alias("chunk")).distinct().join(single, "u").repartition(shards, "block", "chunk").sortWithinPartitions("block", "chunk"), f"{folder}/chunks")
+    roots = written(cut.select("block", "chunk", "grade", "tokens").repartition(shards, "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_roots, _ROOT), f"{folder}/roots")
+    a = roots.select("block", *(F.col(c).alias(f"{c}_a") for c in ("chunk", "grade", "low", "high", "bits")))
+    b = roots.select("block", *(F.col(c).alias(f"{c}_b") for c in ("chunk", "grade", "low", "high", "bits")))
     # sizes of linked sets are at most one grade apart, up to rounding: two grades are joined with each
-    near = big.select("block", F.col("grade").alias("g0"), F.col("q").alias("q0")).join(big.select("block", F.col("grade").alias("g1"), F.col("q").alias("q1")), "block").where("g1 between g0 and g0 + 2")
-    role = F.explode(F.array(F.lit(1), F.lit(2)))
-    plan = near.select("block", "g0", "q0", "g1", "q1", role.alias("side"))
-    plan = plan.select("block", F.when(F.col("side") == 1, F.col("g0")).otherwise(F.col("g1")).alias("grade"), "g0", "g1", "q0", "q1", "side")
-    cut = sized.join(big.select("block").distinct(), "block", "left_semi").join(plan, ["block", "grade"])
-    own = F.pmod(F.xxhash64("u"), F.when(F.col("side") == 1, F.col("q0")).otherwise(F.col("q1"))).cast("int")
-    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("q1")).otherwise(F.col("q0")) - 1)))
-    a = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other"))
-    b = F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
-    cut = cut.withColumn("a", a).withColumn("b", b).where("g0 < g1 or a <= b")
-    # a chunk with itself is one side
-    cut = cut.where("not (g0 = g1 and a = b and side = 2)").withColumn("side", F.expr("case when g0 = g1 and a = b then 0 else side end"))
-    split = cut.select("u", F.concat_ws(":", "block", "g0", "a", "g1", "b").alias("task"), "side")
-    whole = sized.join(count.where((F.col("all") > 1) & (F.col("all") <= CHUNK)), "block", "left_semi").select("u", F.col("block").cast("string").alias("task"), F.lit(0).alias("side"))
+    a = a.withColumn("salt", F.pmod(F.xxhash64("chunk_a"), F.lit(ROOT_SALTS)).cast("int"))
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))))
+    near = a.join(b, ["block", "salt"]).where("grade_b between grade_a and grade_a + 2 and (grade_a < grade_b or chunk_a <= chunk_b)")
+    near = near.select("block", "chunk_a", "chunk_b", "low_a", "high_a", "bits_a", "low_b", "high_b", "bits_b").mapInArrow(_root_pairs(limit), "block bigint, chunk_a string, chunk_b string")
+    sides = F.when(F.col("chunk_a") == F.col("chunk_b"), F.array(F.struct(F.col("chunk_a").alias("chunk"), F.lit(0).alias("side"))))
+    sides = sides.otherwise(F.array(F.struct(F.col("chunk_a").alias("chunk"), F.lit(1).alias("side")), F.struct(F.col("chunk_b").alias("chunk"), F.lit(2).alias("side"))))
+    plan = near.select("block", F.concat_ws("|", "block", "chunk_a", "chunk_b").alias("task"), F.explode(sides).alias("s")).select("block", "task", "s.chunk", "s.side")
+    split = cut.join(plan, ["block", "chunk"]).select("task", "u", "side", "tokens")
     return whole.union(split)
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach (docs as given, a row each)."""
-    spark, limit = docs.sparkSession, Threshold(percent)
+    spark, limit = session(docs), Threshold(percent)
     folder, shards = shared_folder(spark, "sigtree"), parallelism(docs)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     about = written(docs.mapInArrow(_describe(n), "doc_id bigint, n bigint, fa bigint, fb bigint"), f"{folder}/about")
-    classes = about.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"))
+    key = ["fa", "fb", "n"]
+    all_classes = written(about.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), f"{folder}/classes")
+    classes = all_classes.where("rep is not null")
     sent = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(n, limit, shards), "shard int, blob binary")
-    shared = sent.repartitionById(shards, F.col("shard")).mapInArrow(_shared, "fa bigint, n bigint, shared bigint")
+    shared = sent.repartitionById(shards, F.col("shard")).mapInArrow(_shared, "fa bigint, fb bigint, n bigint, shared bigint")
     p = F.lit(percent)
     least = F.floor((p * F.col("n") + 99) / 100)
     need = 1 + least - F.floor((p * least + 99) / 100)
-    survive = shared.groupBy("fa", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need)
-    left = written(classes.join(survive.select("fa", "n"), ["fa", "n"], "left_semi").select("rep"), f"{folder}/survivors")
+    survive = shared.groupBy(*key).agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need)
+    left = written(classes.join(survive.select(*key), key, "left_semi").select("rep"), f"{folder}/survivors")
     texts = docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     kept = written(texts.mapInArrow(_survivor_sets(n), _SLICE), f"{folder}/sets")
     asked = kept.select("slice", "blob").mapInArrow(_ask(shards), "shard int, slice bigint, blob binary")
     answers = asked.repartitionById(shards, F.col("shard")).mapInArrow(_answer, "shard int, slice bigint, blob binary")
     answers = answers.groupBy("slice").agg(F.collect_list(F.struct("shard", "blob")).alias("answers"))
     ties = kept.join(answers, "slice").select("ids", "blob", "answers").mapInArrow(_ties(limit, shards), _TIE)
-    edges = ties.repartition(shards, "token").mapInArrow(_meet, "u bigint, v bigint")
-    near = components(edges, "blocks")
-    single = kept.select("ids", "blob").mapInArrow(_single, "u bigint, n bigint, tokens binary")
-    sizes = about.where("n > 0").join(left, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("u"), "n").distinct()
+    near = components(ties.repartition(shards, "token"), "blocks", before=_meet)
+    single = kept.select("ids", "blob").mapInArrow(_single, "u bigint, tokens binary")
+    sizes = kept.select("ids", "blob").mapInArrow(_places, "u bigint, n bigint, x double").distinct()
     roots = near.select(F.col("component").alias("node"), "component").distinct()
     members = written(near.union(roots).toDF("u", "block").join(sizes, "u"), f"{folder}/members")
-    tasks = _block_tasks(members, limit)
-    rows = tasks.join(single, "u").select("task", "u", "side", "tokens").repartition(shards, "task").sortWithinPartitions("task", "side", "u")
-    links = components(rows.mapInArrow(_join_blocks(limit), "u bigint, v bigint"), "links")
-    named = about.join(classes, ["fa", "fb", "n"], "left").join(links.toDF("rep", "component"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    rows = _block_tasks(members, single, limit, shards, folder).repartition(shards, "task").sortWithinPartitions("task", "side", "u")
+    links = components(rows, "links", before=_join_blocks(limit))
+    named = written(classes.join(links.toDF("rep", "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rows"), f"{folder}/named")
+    some = split_join(about.where("n > 0"), named, key, "rows", "left").select("doc_id", "n", "component")
+    found = some.union(about.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
