@@ -10,7 +10,7 @@ types unseen after it, in proportion to their unigram probability, by a weight t
 one: alpha(u) = (1 - sum of seen P(w|u)) / (1 - sum of P(w) of the same types).  A token's score is
 log10 P(w|u), or log10 alpha(u) + log10 P(w) where u w is unseen: the recursion of one order down.
 
-Texts are cut into slices once.  A slice sends its distinct words to the shards of their fingerprints and gets back
+Texts are cut into slices of about RUN_WORDS words once.  A slice sends its distinct words to the shards of their fingerprints and gets back
 their counts and types, sends its distinct pairs of types and gets back their counts, and gets its contexts' weights
 from the shards of their words; then it scores its documents.  Tables (Parquet, in the shared folder): `words` - the slices'
 texts as word numbers, counts and types by shard and slice; `bigrams` - counts by shard and slice, statistics of contexts by
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .blobs import pack, steps, totals, unpack
-from .shared import parallelism, shared_folder, written
+from .shared import parallelism, session, shared_folder, written
 
 DISCOUNTED = 5
+#: Words of the documents that go together (a longer document goes alone).
+RUN_WORDS = 1_000_000
 START, RARE, END, FIRST = 0, 1, 2, 3
 _BLOB = "shard int, slice bigint, blob binary"
 #: Kinds of rows: statistics of a shard, a slice's words, its text, contexts of a shard, a slice's pairs, its contexts.
@@ -50,16 +52,28 @@ def _kinds(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["kind", "shard", "slice", "blob"])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, tx.Words, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, ids, train, words per document, fingerprints of the words) of runs of documents."""
     from pyspark import TaskContext
 
     at = TaskContext.get().partitionId() << 32
+    held: list[tuple] = []
+
+    def run() -> tuple:
+        ids, train, count, h = zip(*held, strict=True)
+        held.clear()
+        return at, pa.concat_arrays(ids), np.concatenate(train), np.concatenate(count), np.concatenate(h)
+
     for b in batches:
         for part in tx.slices(b.column(1)):
-            words = part.words()
-            lo = int(part.rows[0])
-            yield at, b.column(0).slice(lo, len(part)), np.asarray(b.column(2).slice(lo, len(part))).astype(np.int64), words, words.hashes()
-            at += 1
+            words, lo = part.words(), int(part.rows[0])
+            train = np.asarray(b.column(2).slice(lo, len(part))).astype(np.int64)
+            held.append((b.column(0).slice(lo, len(part)).cast(pa.int64()), train, words.count, words.hashes()))
+            if sum(len(x[3]) for x in held) > RUN_WORDS:
+                yield run()
+                at += 1
+    if held:
+        yield run()
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +86,18 @@ def _send_words(shards: int):
     """A slice's distinct words by shard, and its text as numbers of its words in that order.  Shard 0 hears of every slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, ids, train, words, h in _parts(batches):
+        for at, ids, train, count, h in _parts(batches):
             key, word = np.unique(h, return_inverse=True)
             order, cut = _by_shard((key % tx.U64(shards)).astype(np.int64), shards)
             place = np.empty(len(key), np.int64)
             place[order] = np.arange(len(key))
             word, key = place[word], key[order]
-            trained = np.bincount(word, weights=train[words.doc], minlength=len(key)).astype(np.int64)
-            rows = [(s, at, pack(key=steps(key[cut[s] : cut[s + 1]]), trained=trained[cut[s] : cut[s + 1]])) for s in range(shards) if not s or cut[s] < cut[s + 1]]
-            ids = ids.cast(pa.int64())
-            about = pack(id=ids.fill_null(0).to_numpy(), null=np.asarray(ids.is_null()).astype(np.int8), n=words.count, train=train, word=word)
-            yield _batch([*rows, (at % shards, at, about)])
+            trained = np.bincount(word, weights=np.repeat(train, count), minlength=len(key)).astype(np.int64)
+            for s in range(shards):
+                if not s or cut[s] < cut[s + 1]:
+                    yield _batch([(s, at, pack(key=steps(key[cut[s] : cut[s + 1]]), trained=trained[cut[s] : cut[s + 1]]))])
+            about = pack(id=ids.fill_null(0).to_numpy(), null=np.asarray(ids.is_null()).astype(np.int8), n=count, train=train, word=word)
+            yield _batch([(at % shards, at, about)])
 
     return run
 
@@ -321,7 +336,7 @@ def _score(shards: int, z: Sizes, discount: np.ndarray):
 def score(docs: DataFrame, train, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """train: boolean column of docs; least: training occurrences that make a word a type of its own, 1 or more.
     Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    spark = session(docs)
     folder, shards = shared_folder(spark, "katz"), parallelism(docs)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
     to_shard = lambda df: df.repartitionById(shards, F.col("shard"))
