@@ -4,14 +4,16 @@ Layout under one folder, written and read by Spark alone (any file system Spark
 
   objects/   kind 0: k0, k1 (the 128-bit content key), n, payload (little-endian ids): each chunk once.
              kind 1: a document's keys and chunk sizes, as the tokenizer's task left them
-  recipes/   part, doc_id, start (within the part), n_tokens, keys, sizes, leaf; in ascending doc_id order,
-             part by part
+  recipes/   part, place (in the part), doc_id, start (within the part), n_tokens, keys, sizes; in ascending
+             doc_id order, part by part
   manifest/  part, base (ids before the part), n_docs, node; and a row of part -1 with the Merkle root
 
 A chunk ends where a rolling hash of its last WINDOW ids has its low bits at zero, within
-[MIN_IDS, MAX_IDS]; so equal passages give equal chunks wherever they stand.  A leaf is the hash of a
-document's keys, a node the hash of a part's leaves, the root that of all nodes.  Readers hash every
-payload again and compare it with its key, and leaves and nodes with the manifest.
+[MIN_IDS, MAX_IDS]; so equal passages give equal chunks wherever they stand.  A leaf is the hash of all of a
+recipe, a block that of BLOCK leaves in their order, a node that of a part's blocks, the root that of all nodes.
+Readers compute leaves, blocks, nodes and root from the recipes and compare them with the manifest, so a
+recipe that is lost, added, moved or changed is noticed; they hash every payload again and compare it with its
+key, and a chunk that is missing is an error.
 
 Payloads move once, to the task that stores them; a chunk that a task has sent before is not sent
 again, so a text with any number of copies costs a row per task.  Checking moves no payload: the
@@ -38,9 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import freed_shuffles, parallelism
+from .shared import freed_shuffles, parallelism, saved, session
 
 WINDOW, MIN_IDS, MASK_BITS, MAX_IDS = 16, 256, 10, 8192
+#: Leaves under a node's block, which bounds what a reader gathers.
+BLOCK = 4096
 _CP = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.int64).astype(tx.U64) * tx.U64(2) + tx.U64(1)
 _GEAR = np.random.default_rng(11).integers(0, 1 << 63, 1 << 16, dtype=np.int64).astype(tx.U64)
 _classes: np.ndarray | None = None
@@ -124,8 +128,11 @@ class Tokenizer:
         #: tokens that are cut out of a text before its pieces are found
         self.added = {t.content: i for i, t in added.items()}
         self.find = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
-        #: tokens with conditions on their surroundings are left to the library
-        self.plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
+        #: files of other splitting rules, and tokens with conditions on their surroundings, are left to the library
+        split = self.lib.pre_tokenizer
+        usual = type(split).__name__ == "ByteLevel" and not split.add_prefix_space and getattr(split, "use_regex", True)
+        usual = usual and self.lib.normalizer is None and type(self.lib.model).__name__ == "BPE" and not self.lib.model.dropout
+        self.plain = usual and not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
         self.model, self.chars = self.lib.model, _byte_chars()
         self.wide = self.lib.get_vocab_size() > 1 << 16
         self.cache = tx.WordCache(np.uint32 if self.wide else np.uint16)
@@ -152,13 +159,13 @@ class Tokenizer:
         if len(marks):  # a token is one piece
             token = np.searchsorted(marks[:, 0], start, side="right") - 1
             start = start[(token < 0) | (start == marks[token, 0]) | (start >= marks[token, 1])]
-        whole = np.isin(start, marks[:, 0])
         end = np.append(start[1:], len(cps))[: len(start)]
         values = _CP[cps & 0xFFFF]
         if len(cps) and int(cps.max()) > 0xFFFF:
             values = values + (cps >> 16).astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)
         h = tx.span_hashes(values, start, end)
-        h = np.where(whole, tx.mix(h + tx.U64(1)), h)
+        whole = np.isin(start, marks[:, 0]) if len(marks) else np.zeros(len(start), bool)
+        h[whole] = tx.mix(h[whole] + tx.U64(1))
 
         def make(which: np.ndarray) -> list[list[int]]:
             out = []
@@ -251,64 +258,81 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-_RECIPE = "kind int, part int, doc_id bigint, start bigint, n_tokens bigint, keys binary, sizes binary, leaf binary"
+_RECIPE = "part int, place bigint, doc_id bigint, start bigint, n_tokens bigint, keys binary, sizes binary"
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of one part, sorted: their starts within the part; then the part's node."""
+    """Documents of one part, sorted: their places and starts within the part."""
     from pyspark import TaskContext
 
-    part, at, docs, node = TaskContext.get().partitionId(), 0, 0, hashlib.sha256()
+    part, at, docs = TaskContext.get().partitionId(), 0, 0
     for b in batches:
-        n = b.column(1).to_numpy()
-        leaf = [hashlib.sha256(k).digest() for k in b.column(2).to_pylist()]
-        node.update(b"".join(leaf))
+        n, m = b.column(1).to_numpy(), b.num_rows
         start = at + np.cumsum(n) - n
-        at, docs, m = at + int(n.sum()), docs + len(n), len(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, part, np.int32)), b.column(0), pa.array(start, pa.int64()), b.column(1), b.column(2), b.column(3), pa.array(leaf, pa.binary())], names=[x.split()[0] for x in _RECIPE.split(", ")])
-    one = lambda x, t: pa.array([x], t)
-    yield pa.RecordBatch.from_arrays([one(1, pa.int32()), one(part, pa.int32()), one(docs, pa.int64()), one(0, pa.int64()), one(at, pa.int64()), one(b"", pa.binary()), one(b"", pa.binary()), one(node.digest(), pa.binary())], names=[x.split()[0] for x in _RECIPE.split(", ")])
+        place = np.arange(docs, docs + m)
+        at, docs = at + int(n.sum()), docs + m
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(place), b.column(0), pa.array(start, pa.int64()), *(b.column(k) for k in (1, 2, 3))], names=[x.split()[0] for x in _RECIPE.split(", ")])
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> None:
+def nodes(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, node of every part that has documents, computed from the recipes themselves."""
+    about = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("place", "doc_id", "start", "n_tokens")))
+    leaf = F.sha2(F.concat(F.encode(about, "utf-8"), F.lit(b"|"), "sizes", F.lit(b"|"), "keys"), 256)
+    hashed = lambda by: F.sha2(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: x["h"]), ","), "utf-8"), 256)
+    leaves = recipes.select("part", "place", "n_tokens", leaf.alias("h"), F.floor(F.col("place") / BLOCK).alias("block"))
+    blocks = leaves.groupBy("part", "block").agg(hashed("place").alias("h"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return blocks.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("block").alias("node"))
+
+
+def manifest(recipes: DataFrame) -> list[tuple[int, int, int, str]]:
+    """(part, ids before it, documents, node), a row per part, and the root as part -1 with the totals."""
+    at, n, rows, root = 0, 0, [], hashlib.sha256()
+    for r in nodes(recipes).orderBy("part").collect():  # a row per part
+        rows.append((r.part, at, r.n_docs, r.node))
+        at, n = at + r.n_tokens, n + r.n_docs
+        root.update(r.node.encode())
+    return [*rows, (-1, at, n, root.hexdigest())]
+
+
+def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> None:
     """Encodes every text with the tokenizers file at `path`, appends end_id, and writes the store.
     special: texts of special tokens become those tokens, as the library has it unless told otherwise."""
-    spark = docs.sparkSession
+    spark = session(docs)
     parts = parallelism(docs)
     coded = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_encoded(path, end_id, special), _OBJECT)
     with freed_shuffles(spark):
-        coded.repartition(parts, "k0").mapInArrow(_once, _OBJECT).write.option("compression", "zstd").parquet(f"{folder}/objects")
-        found = spark.read.schema(_OBJECT).parquet(f"{folder}/objects").where("kind = 1").select("doc_id", "n", "keys", "sizes")
-        found.repartitionByRange(max(1, parts // 4), "doc_id").sortWithinPartitions("doc_id", "keys").mapInArrow(_recipes, _RECIPE).write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    nodes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes").where("kind = 1").select("part", "doc_id", "n_tokens", "leaf").orderBy("part").collect()  # a row per file
-    at, rows, root = 0, [], hashlib.sha256()
-    for r in nodes:
-        rows.append((r.part, at, r.doc_id, bytes(r.leaf)))
-        at += r.n_tokens
-        root.update(bytes(r.leaf))
-    rows.append((-1, at, sum(r.doc_id for r in nodes), root.digest()))
-    spark.createDataFrame(rows, "part int, base bigint, n_docs bigint, node binary").coalesce(1).write.parquet(f"{folder}/manifest")
+        saved(coded.repartition(parts, "k0").mapInArrow(_once, _OBJECT), f"{folder}/objects")
+        found = spark.read.schema(_OBJECT).parquet(f"{folder}/objects").where("kind = 1").select("doc_id", "n", "keys", "sizes", F.xxhash64("keys").alias("h"))
+        # rows of one id are dealt by what they hold
+        found = found.repartitionByRange(max(1, parts // 4), "doc_id", "h").sortWithinPartitions("doc_id", "h", "keys").drop("h")
+        saved(found.mapInArrow(_recipes, _RECIPE), f"{folder}/recipes")
+        rows = manifest(spark.read.schema(_RECIPE).parquet(f"{folder}/recipes"))
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+_MANIFEST = "part int, base bigint, n_docs bigint, node string"
+
+
+def _compared(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch (k0, k1, payload, n), after comparing payloads and keys."""
+    key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, b.column(2).to_pylist())), dtype="<i8").reshape(-1, 2)
+    if (key[:, 0] != b.column(0).to_numpy()).any() or (key[:, 1] != b.column(1).to_numpy()).any():
+        raise ValueError("a chunk's payload is not what its key says")
+    return b
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k0, k1, n, crc) of stored chunks, after comparing payload and key."""
-    for b in batches:
-        pair, crc = [], []
-        for p, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            pair.append(xxhash.xxh3_128_digest(p))
-            crc.append(zlib.crc32(np.frombuffer(p, dtype="<u2" if len(p) == 2 * n else "<u4").astype("<u4").tobytes()))
-        key = np.frombuffer(b"".join(pair), dtype="<i8").reshape(-1, 2)
-        if (key[:, 0] != b.column(0).to_numpy()).any() or (key[:, 1] != b.column(1).to_numpy()).any():
-            raise ValueError("a chunk's payload is not what its key says")
+    """(k0, k1, n, crc) of stored chunks."""
+    for b in map(_compared, batches):
+        sized = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+        crc = [zlib.crc32(np.frombuffer(p, dtype="<u2" if len(p) == 2 * n else "<u4").astype("<u4").tobytes()) for p, n in sized]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(crc, pa.int64())], names=["k0", "k1", "n", "crc"])
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, doc_id, start, n_tokens, seq, after, k0, k1) of every chunk of every document; after: ids behind it."""
     for b in batches:
-        keys, sizes, leaf = b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist()
-        if any(hashlib.sha256(k).digest() != x for k, x in zip(keys, leaf, strict=True)):
-            raise ValueError("a recipe's keys are not what its leaf says")
+        keys, sizes = b.column(4).to_pylist(), b.column(5).to_pylist()
         n = np.array([len(k) // 16 for k in keys], dtype=np.int64)
         pair = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
         size = np.frombuffer(b"".join(sizes), dtype="<i4").astype(np.int64)
@@ -358,21 +382,29 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(add.astype(np.int64))], names=["part", "doc_id", "start", "n_tokens", "n", "crc"])
 
 
-def verify_manifest(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
-    """(part, ids before it) after comparing the nodes with the root."""
-    rows = sorted(map(tuple, spark.read.parquet(f"{folder}/manifest").collect()))
-    root = hashlib.sha256(b"".join(bytes(r[3]) for r in rows if r[0] >= 0)).digest()
-    if rows[0][0] != -1 or bytes(rows[0][3]) != root:
-        raise ValueError("the manifest's root does not follow from its nodes")
-    return [(r[0], r[1]) for r in rows if r[0] >= 0]
+def verify_manifest(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(recipes, ids before each part) after computing all nodes and the root from the recipes."""
+    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
+    said, found = (sorted(map(tuple, x)) for x in (spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").collect(), manifest(recipes)))
+    if said != found:
+        raise ValueError("the recipes are not what the manifest's nodes say")
+    return recipes, spark.createDataFrame([r[:2] for r in said if r[0] >= 0], "part int, base bigint")  # a row per file
+
+
+_REFERENCE = "part int, doc_id bigint, start bigint, n_tokens bigint, seq bigint, after bigint, k0 bigint, k1 bigint"
+
+
+def _chunks_of(spark: SparkSession, folder: str, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references to chunks, stored chunks)"""
+    refs = recipes.select("part", "doc_id", "start", "n_tokens", "keys", "sizes").mapInArrow(_references, _REFERENCE)
+    return refs, spark.read.schema(_OBJECT).parquet(f"{folder}/objects").where("kind = 0").select("k0", "k1", "payload", "n")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    base = spark.createDataFrame(verify_manifest(spark, folder), "part int, base bigint")  # a row per file
-    chunks = spark.read.schema(_OBJECT).parquet(f"{folder}/objects").where("kind = 0").select("k0", "k1", "payload", "n").mapInArrow(_checked, "k0 bigint, k1 bigint, n bigint, crc bigint")
-    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes").where("kind = 0")
-    refs = recipes.select("part", "doc_id", "start", "n_tokens", "keys", "sizes", "leaf").mapInArrow(_references, "part int, doc_id bigint, start bigint, n_tokens bigint, seq bigint, after bigint, k0 bigint, k1 bigint")
+    recipes, base = verify_manifest(spark, folder)
+    refs, chunks = _chunks_of(spark, folder, recipes)
+    chunks = chunks.mapInArrow(_checked, "k0 bigint, k1 bigint, n bigint, crc bigint")
     joined = refs.join(chunks, ["k0", "k1"], "left").select("part", "doc_id", "start", "n_tokens", "n", "crc", "after")
     parts = joined.mapInArrow(_contributions, "part int, doc_id bigint, start bigint, n_tokens bigint, n bigint, crc bigint")
     whole = parts.groupBy("part", "doc_id", "start", "n_tokens").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"))
@@ -383,15 +415,21 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, ids array<int>: every document reconstructed."""
-    base = spark.createDataFrame(verify_manifest(spark, folder), "part int, base bigint")
-    chunks = spark.read.schema(_OBJECT).parquet(f"{folder}/objects").where("kind = 0").select("k0", "k1", "n", "payload")
-    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes").where("kind = 0")
-    refs = recipes.select("part", "doc_id", "start", "n_tokens", "keys", "sizes", "leaf").mapInArrow(_references, "part int, doc_id bigint, start bigint, n_tokens bigint, seq bigint, after bigint, k0 bigint, k1 bigint")
-    whole = refs.join(chunks, ["k0", "k1"]).groupBy("part", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "payload"))).alias("c")).join(F.broadcast(base), "part")
+    recipes, base = verify_manifest(spark, folder)
+    refs, chunks = _chunks_of(spark, folder, recipes)
+    chunks = chunks.mapInArrow(lambda batches: map(_compared, batches), "k0 bigint, k1 bigint, payload binary, n bigint")
+    piece = F.sort_array(F.collect_list(F.struct("seq", "n", "payload")))
+    whole = refs.join(chunks, ["k0", "k1"], "left").groupBy("part", "doc_id", "start", "n_tokens").agg(piece.alias("c")).join(F.broadcast(base), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.concatenate([np.frombuffer(x["payload"], dtype="<u2" if len(x["payload"]) == 2 * x["n"] else "<u4").astype(np.int32) for x in c]) for c in b.column(2).to_pylist()]
+            ids = []
+            for n, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if any(x["payload"] is None for x in c):
+                    raise ValueError("a recipe names a chunk that is not stored")
+                ids.append(np.concatenate([np.frombuffer(x["payload"], dtype="<u2" if len(x["payload"]) == 2 * x["n"] else "<u4").astype(np.int32) for x in c]))
+                if len(ids[-1]) != n:
+                    raise ValueError("chunks do not add up to the document")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "c").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return whole.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "c").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
