@@ -1,19 +1,20 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The corpus is indexed in shards: each shard holds the postings of some documents - for every term its
-ascending word positions in the shard, delta-coded - for the terms that occur in the test items, the
-only ones a match can contain.  The index is a written table of one row per shard, so it can be searched
-any number of times, and search moves no text.  A phrase is searched in a shard from its rarest term
-there: that term's postings, less its place in the phrase, are the candidate starts, and they are
-intersected with the offset-adjusted postings of the other terms, rarest first, until none is left.
-All phrases of a block of test items go through a shard together; blocks of items bound what a task holds.
+The corpus is indexed in shards: each shard holds the postings of some documents - for every term its ascending word
+positions in the shard, delta-coded.  The index is a written table of a row per shard and can be searched any
+number of times; searching moves no text.  The windows of the test items are a written table too, and are searched in blocks of
+BLOCK_WINDOWS, which bounds what is broadcast, whatever the size of the benchmark.  A shard drops the windows with a term
+that it lacks; the others are searched from their rarest term there: that term's postings, less its place in the window,
+are the candidate starts, and they are intersected with the offset-adjusted postings of the other terms, rarest first,
+until none is left.  What the blocks find of a document is merged.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.  A window is 8 consecutive item words;
 an item of fewer, but not none, is one window.
 
 Defined results: null and empty texts have no words and match nothing; items without words never
-occur; repeated documents and items are treated each on its own (equal item ids count once); further
-columns are ignored; an empty corpus gives no rows, an empty benchmark rows without hits.
+occur; words of an item of null id count as hit, but the item has no id to be counted or named by; repeated documents and
+items are treated each on its own (equal item ids count once); further columns are ignored; an empty
+corpus gives no rows, an empty benchmark rows without hits.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .blobs import pack, unpack
-from .shared import shared_folder, written
+from .blobs import pack, steps, totals, unpack
+from .shared import session, shared_folder, written
 
-#: Windows of test items that one search block holds at most (about 100 bytes each).
+#: Windows of test items that are searched together (of 64 bytes each).
 BLOCK_WINDOWS = 200_000
 #: Positions between two documents of a shard; a slop must be less than half of it.
 GAP = 64
-_SHARD = "shard bigint, rows bigint, docs binary, index binary"
+_INDEX = "shard bigint, ids array<bigint>, text_keys array<bigint>, counts array<bigint>, index binary"
+_WINDOWS = "block bigint, n bigint, items array<string>, windows binary"
 
 
 def _tokens(part: tx.Slice) -> tuple[tx.Words, np.ndarray]:
@@ -41,74 +43,107 @@ def _tokens(part: tx.Slice) -> tuple[tx.Words, np.ndarray]:
     return words, words.hashes()
 
 
-def test_windows(rows: list[tuple[str, str | None]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(terms [windows, n], lengths, item number of each window, item ids); shorter windows are padded with 0."""
-    terms, lengths, owner, ids = [], [], [], sorted({r[0] for r in rows})
-    number = {x: i for i, x in enumerate(ids)}
-    for item, text in rows:
-        for part in tx.slices(pa.array([text], pa.string()), 1 << 40):
-            _, h = _tokens(part)
-            for k in range(max(1, len(h) - n + 1) if len(h) else 0):
-                w = h[k : k + n]
-                terms.append(np.concatenate([w, np.zeros(n - len(w), tx.U64)]))
-                lengths.append(len(w))
-                owner.append(number[item])
-    if not terms:
-        return np.zeros((0, n), tx.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), ids
-    return np.array(terms, dtype=tx.U64), np.array(lengths), np.array(owner), ids
+def _list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the index of docs for the given terms (sorted fingerprints) and returns it."""
-    terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, key of the text): the postings of all terms of a slice of documents."""
+    from pyspark import TaskContext
 
+    shard = TaskContext.get().partitionId() << 32
+    for b in batches:
+        for part in tx.slices(b.column(1)):
+            words, h = _tokens(part)
+            # documents are set apart by GAP positions, so no match runs over an end
+            place = np.arange(len(h)) + GAP * words.doc
+            order = np.argsort(h, kind="stable")
+            h, place = h[order], place[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            step = np.diff(place, prepend=0)
+            step[first] = place[first]
+            index = pack(term=steps(h[first]), df=np.diff(np.append(first, len(h))), step=step)
+            own = [b.column(k).slice(int(part.rows[0]), len(part)) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), *map(_list, own), _list(pa.array(words.count, pa.int64())), pa.array([index], pa.binary())], names=["shard", "ids", "text_keys", "counts", "index"])
+            shard += 1
+
+
+def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the index of docs and returns it."""
+    text = F.col(text_col)
+    return written(docs.select(F.col(id_col).cast("bigint"), text, F.xxhash64(text)).mapInArrow(_index, _INDEX), folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_INDEX).parquet(folder)
+
+
+def item_windows(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(terms [windows, n], words of each window, its row) of slices of texts; shorter windows are padded with 0."""
+    for part in tx.slices(texts):
+        words, h = _tokens(part)
+        room = np.concatenate([h, np.zeros(n, tx.U64)])
+        count = np.where(words.count > 0, np.maximum(words.count - n + 1, 1), 0)
+        row = np.repeat(np.arange(len(part)), count)
+        start = tx.gather(np.arange(len(h)), words.first[:-1], count)
+        size = np.minimum(words.count, n)[row]
+        terms = np.lib.stride_tricks.sliding_window_view(room, n)[start] * (np.arange(n) < size[:, None])
+        yield terms, size, row + part.rows[0]
+
+
+def _windows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, vocab = TaskContext.get().partitionId() << 32, terms.value
-        lookup = tx.HashIndex()
-        if len(vocab):
-            lookup.put(vocab, np.arange(len(vocab), dtype=np.int32))
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            for part in tx.slices(b.column(1)):
-                words, h = _tokens(part)
-                term = lookup.get(h)
-                # documents are set apart by GAP positions, so no match runs over an end
-                place = np.arange(len(h)) + GAP * words.doc
-                known = np.flatnonzero(term >= 0)
-                order = known[np.argsort(term[known], kind="stable")]
-                t, p = term[order], place[order]
-                used, first = np.unique(t, return_index=True)
-                counts = np.diff(np.append(first, len(t)))
-                step = np.diff(p, prepend=0)
-                step[first] = p[first]
-                docs_blob = pack(count=words.count)
-                index = pack(term=used, df=counts, step=step)
-                ids = b.column(0).slice(int(part.rows[0]), len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.array([len(part)], pa.int64()), pa.array([docs_blob], pa.binary()), pa.array([index], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids.cast(pa.int64()))],
-                    names=["shard", "rows", "docs", "index", "ids"],
-                )
-                shard += 1
-
-    made = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, _SHARD + ", ids array<bigint>")
-    return written(made, folder)
+            for terms, size, row in item_windows(b.column(1), n):
+                for lo in range(0, len(size), BLOCK_WINDOWS):
+                    part = slice(lo, lo + BLOCK_WINDOWS)
+                    rows, owner = np.unique(row[part], return_inverse=True)
+                    blob = pack(terms=terms[part].ravel(), size=size[part], owner=owner)
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(owner)], pa.int64()), _list(b.column(0).take(pa.array(rows))), pa.array([blob], pa.binary())], names=["block", "n", "items", "windows"])
+                    block += 1
+
+    return run
+
+
+def write_windows(benchmark: DataFrame, n: int, folder: str, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    return written(benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).mapInArrow(_windows(n), _WINDOWS), folder)
+
+
+class Windows:
+    """A block's windows: terms (numbers into the sorted vocabulary, -1 past their ends), sizes, owners, item ids."""
+
+    def __init__(self, rows: list, n: int):
+        got = [unpack(bytes(r.windows)) for r in rows]
+        terms = np.concatenate([g["terms"].astype(tx.U64).reshape(-1, n) for g in got])
+        self.size = np.concatenate([g["size"] for g in got])
+        self.items = [x for r in rows for x in r.items]
+        base = np.cumsum([0, *(len(r.items) for r in rows)])
+        self.owner = np.concatenate([g["owner"] + at for g, at in zip(got, base, strict=False)])
+        inside = np.arange(n) < self.size[:, None]
+        self.vocabulary = np.unique(terms[inside])
+        self.number = np.where(inside, np.searchsorted(self.vocabulary, terms), -1)
 
 
 class Postings:
-    """A shard's postings of known terms."""
+    """A shard's postings of the terms of some vocabulary (sorted fingerprints)."""
 
-    def __init__(self, blob: bytes, n_terms: int):
+    def __init__(self, blob: bytes, vocabulary: np.ndarray):
         got = unpack(blob)
-        used, df, step = got["term"], got["df"], got["step"]
+        term, df, step = totals(got["term"].astype(tx.U64)), got["df"], got["step"]
         first = np.cumsum(df) - df
-        total = np.cumsum(step)
+        place = np.cumsum(step)
         if len(df):
-            total -= np.repeat(total[first] - step[first], df)
-        self.places = total
-        self.first, self.df = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-        self.first[used], self.df[used] = first, df
-        self.keys = np.repeat(used.astype(np.int64), df) << 40 | total  # sorted
+            place -= np.repeat(place[first] - step[first], df)
+        at = np.minimum(np.searchsorted(term, vocabulary), max(len(term) - 1, 0))
+        known = np.flatnonzero(term[at] == vocabulary) if len(term) else np.zeros(0, np.int64)
+        self.first, self.df = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        self.df[known] = df[at[known]]
+        self.first[known] = np.cumsum(self.df[known]) - self.df[known]
+        self.places = tx.gather(place, first[at[known]], self.df[known])
+        self.keys = np.repeat(known, self.df[known]) << 40 | self.places  # sorted
 
     def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, term << 40 | place)
@@ -123,100 +158,122 @@ class Postings:
         return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= (term << 40 | np.maximum(place + slop, 0)))
 
 
-def search_shard(post: Postings, terms: np.ndarray, lengths: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(post: Postings, terms: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, first word, place of its rarest term) of every occurrence; terms: numbers of the windows' terms, -1 past their ends.
     With a slop, every term may stand so many words off its place."""
     n = terms.shape[1]
-    df = np.where(terms >= 0, post.df[np.maximum(terms, 0)], 1 << 40)
+    # windows with a term that the shard lacks go first; the others are few
+    live = np.flatnonzero(((terms < 0) | (post.df[np.maximum(terms, 0)] > 0)).all(axis=1))
+    df = np.where(terms[live] >= 0, post.df[np.maximum(terms[live], 0)], 1 << 40)
     order = np.argsort(df, axis=1, kind="stable")
-    rarest = df[np.arange(len(df)), order[:, 0]]
-    live = np.flatnonzero((rarest > 0) & (lengths > 0))
-    window = np.repeat(live, rarest[live])
-    lead = order[:, 0]
-    start = tx.gather(post.places, post.first[terms[live, lead[live]]], rarest[live]) - lead[window]
+    lead, rarest = order[:, 0], df.min(axis=1, initial=1 << 40)
+    which = np.repeat(np.arange(len(live)), rarest)
+    start = tx.gather(post.places, post.first[terms[live, lead]], rarest) - lead[which]
     for k in range(1, n):
-        if not len(window):
+        if not len(which):
             break
-        place = order[window, k]
-        term = terms[window, place]
+        place = order[which, k]
+        term = terms[live[which], place]
         if slop:
-            ok = (term < 0) | post.near(term.astype(np.int64), start + place, slop)
+            ok = (term < 0) | post.near(term, start + place, slop)
         else:
-            ok = (term < 0) | post.has(term.astype(np.int64), start + place)
-        window, start = window[ok], start[ok]
-    return window, start, start + lead[window]
+            ok = (term < 0) | post.has(term, start + place)
+        which, start = which[ok], start[ok]
+    return live[which], start, start + lead[which]
 
 
-_FOUND = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, n_near_items bigint, items array<string>"
+_HITS = "shard bigint, row bigint, items array<string>, near array<string>, begins array<bigint>, ends array<bigint>"
 
 
-def search(index: DataFrame, vocabulary: np.ndarray, windows: tuple, slop: int) -> DataFrame:
-    """Per document: n_words, n_hit (words inside an occurrence of any window), n_items and items
-    (ids of items with an occurring window) and n_near_items (items with a window whose words all stand
-    within slop of their places)."""
-    given = index.sparkSession.sparkContext.broadcast((vocabulary, windows))
+def _search(given, slop: int):
+    """Rows (shard, counts, index): what a block of windows finds, a row per document with a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, (hashes, lengths, owner, ids) = given.value
-        number = np.searchsorted(vocab, hashes).astype(np.int64)
-        number[np.arange(hashes.shape[1]) >= lengths[:, None]] = -1
+        w = given.value
         for b in batches:
-            for docs, blob, doc_ids in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                count = unpack(docs)["count"].astype(np.int64)
+            out: list[list] = [[] for _ in range(6)]
+            for shard, count, blob in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                count = count.values.to_numpy()
                 first = np.cumsum(count) - count + GAP * np.arange(len(count))
-                post = Postings(blob, len(vocab))
-                items, near = [set() for _ in count], [set() for _ in count]
+                post = Postings(blob, w.vocabulary)
+                items: dict[int, set[int]] = {}
+                near: dict[int, set[int]] = {}
                 cover = np.zeros(int(count.sum()) + GAP * len(count) + 1, np.int32)
-                for lo in range(0, len(number), BLOCK_WINDOWS):
-                    part = slice(lo, lo + BLOCK_WINDOWS)
-                    own, size = owner[part], lengths[part]
-                    for into, off in ((items, 0), (near, slop))[: 1 + bool(slop)]:
-                        window, start, anchor = search_shard(post, number[part], size, off)
-                        row = np.searchsorted(first, anchor, side="right") - 1
-                        for r, o in set(zip(row.tolist(), own[window].tolist(), strict=True)):
-                            into[r].add(o)
-                        if not off:
-                            np.add.at(cover, start, 1)
-                            np.add.at(cover, start + size[window], -1)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
-                hits = covered[first + count] - covered[first]
-                names = [sorted(ids[o] for o in x) for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.values, pa.array(count), pa.array(hits.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()), pa.array([len(x) for x in near], pa.int64()), pa.array(names, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "n_near_items", "items"],
-                )
-
-    return index.mapInArrow(run, _FOUND)
+                for into, off in ((items, 0), (near, slop))[: 1 + bool(slop)]:
+                    window, start, anchor = search_shard(post, w.number, off)
+                    row = np.searchsorted(first, anchor, side="right") - 1
+                    for r, o in set(zip(row.tolist(), w.owner[window].tolist(), strict=True)):
+                        into.setdefault(r, set()).add(o)
+                    if not off:
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, start + w.size[window], -1)
+                edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0, append=0)
+                begin, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+                cut = np.searchsorted(begin, first)
+                for r in sorted(items.keys() | near.keys()):
+                    mine = slice(cut[r], cut[r + 1] if r + 1 < len(cut) else None)
+                    names = ([w.items[o] for o in x.get(r, ()) if w.items[o] is not None] for x in (items, near))
+                    for column, value in zip(out, (shard, r, *names, begin[mine] - first[r], end[mine] - first[r]), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _HITS.split(", ")])
+
+    return run
+
+
+def _blocks(windows: DataFrame) -> Iterator[list[int]]:
+    """Rows of the windows' table that are searched together."""
+    block, size = [], 0
+    for r in windows.select("block", "n").orderBy("block").toLocalIterator():  # a row per 2 MB of item texts
+        if block and size + r.n > BLOCK_WINDOWS:
+            yield block
+            block, size = [], 0
+        block.append(r.block)
+        size += r.n
+    if block:
+        yield block
+
+
+def search(index: DataFrame, windows: DataFrame, n: int, slop: int, folder: str) -> DataFrame:
+    """Per document: doc_id, text_key, n_words, n_hit (words inside an occurrence of any window), n_items and items
+    (ids of items with an occurring window) and n_near_items (items with a window whose words all stand
+    within slop of their places)."""
+    spark = index.sparkSession
+    hits = [spark.createDataFrame([], _HITS)]
+    for k, block in enumerate(_blocks(windows)):
+        rows = windows.where(F.col("block").isin(block)).orderBy("block").collect()  # BLOCK_WINDOWS windows at most
+        given = spark.sparkContext.broadcast(Windows(rows, n))
+        hits.append(written(index.select("shard", "counts", "index").mapInArrow(_search(given, slop), _HITS), f"{folder}/{k}"))
+    found = hits[0] if len(hits) == 1 else spark.read.schema(_HITS).parquet(*(f"{folder}/{k}" for k in range(len(hits) - 1)))
+    every = lambda c: F.flatten(F.collect_list(c))
+    span = F.arrays_zip(every("begins").alias("begin"), every("ends").alias("end"))
+    found = found.groupBy("shard", "row").agg(F.array_sort(F.array_distinct(every("items"))).alias("items"), F.array_distinct(every("near")).alias("near"), F.sort_array(span).alias("spans"))
+    # spans of different blocks may overlap
+    none = F.struct(F.lit(0).cast("bigint").alias("reach"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, x: F.struct(F.greatest(a["reach"], x["end"]).alias("reach"), (a["n"] + F.greatest(F.lit(0).cast("bigint"), x["end"] - F.greatest(a["reach"], x["begin"]))).alias("n"))
+    found = found.select("shard", "row", "items", "near", F.aggregate("spans", none, step, lambda a: a["n"]).alias("hit"))
+    docs = index.select("shard", F.posexplode(F.arrays_zip("ids", "text_keys", "counts")).alias("row", "d"))
+    docs = docs.select("shard", F.col("row").cast("bigint").alias("row"), F.col("d.ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.counts").alias("n_words"))
+    names = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    count = lambda c: F.size(names(c)).cast("bigint")
+    return docs.join(found, ["shard", "row"], "left").select(
+        "doc_id", "text_key", "n_words", F.coalesce("hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        count("items").alias("n_items"), count("near").alias("n_near_items"), names("items").alias("items"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, slop: int = 2, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Indexes docs and searches every window of the benchmark.
-
-    The benchmark is the stated query set.  It is brought to the driver after a check of its size
-    against MAX_QUERY_BYTES; a larger one must be searched in several calls, against one index."""
-    spark = docs.sparkSession
-    size = benchmark.select(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    if size > MAX_QUERY_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; search at most {MAX_QUERY_BYTES} at a time")
-    rows = [(str(r[0]), r[1]) for r in benchmark.select(F.col(item_col).cast("string"), F.col("text")).collect() if r[0] is not None]
-    windows = test_windows(rows, n)
-    vocabulary = np.unique(windows[0][windows[0] != 0])
-    index = build_index(docs, vocabulary, shared_folder(spark, "postings"), id_col, text_col)
-    return search(index, vocabulary, windows, slop)
-
-
-#: Bytes of benchmark text per search.
-MAX_QUERY_BYTES = 64 << 20
+    """Indexes docs and searches every window of the benchmark; see search()."""
+    folder = shared_folder(session(docs), "postings")
+    index = build_index(docs, f"{folder}/index", id_col, text_col)
+    windows = write_windows(benchmark, n, f"{folder}/windows", item_col, text_col)
+    return search(index, windows, n, slop, f"{folder}/hits")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least two items), n_near_items"""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least two items)"""
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_items") >= 2).alias("contaminated"), "n_near_items",
+        (F.col("n_items") >= 2).alias("contaminated"),
     )
-
-
-def open_index(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
