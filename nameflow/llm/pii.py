@@ -4,10 +4,11 @@ Base spans come from the patterns below and always stay.  The model adds spans t
 with other separators or addresses with words in place of their marks.
 
 The model scores labelled segmentations: features of a whole candidate span (its shape with runs squeezed, digits,
-groups, separators, checks such as Luhn's, the words beside it) weigh for its type, outside tokens weigh for none.
-Entities hold at most 2 * MAX_TOKENS tokens and a digit, an @, or words for both marks of an address (`at`, and `dot` or a
-full stop), so a text falls into zones - runs of words around such seeds, and one word more on either side - and outside them
-nothing is an entity; entities of one or two tokens hold at least LEAST_DIGITS digits; within a zone a dynamic program over ends and
+groups, separators, checks such as Luhn's, the characters beside it) weigh for its type, outside tokens weigh for none.
+Entities hold at most MAX_TOKENS tokens and MOST_DIGITS digits; they hold either one mark of an address - an @, or the word
+`at` and after it the word `dot` or a full stop - or no letter, at most MOST_GROUPS groups of digits and LEAST_DIGITS digits or
+four groups of three at most.  So a text falls into zones - runs of words around digits and marks, and one word more on either
+side - and outside them nothing is an entity; within a zone a dynamic program over ends and
 lengths chooses boundaries and types jointly.  Training maximises the likelihood of segmentations of zones made from seeded
 templates (forward sums over the same lattice), on the driver and alike for every corpus.
 
@@ -28,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import session
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
 EMAIL_LEFT, EMAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin where a run of digits does, and takes runs whole, so long runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MAX_TOKENS, LEAST_DIGITS = 12, 10
+MAX_TOKENS, LEAST_DIGITS, MOST_DIGITS, MOST_GROUPS = 24, 10, 24, 6
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -94,6 +98,8 @@ _ENDS = frozenset("com org net edu gov mil int info biz io co de fr es it nl eu
 _COMMON = frozenset("the a an this that these those his her its our your my their on of in to and or is was were be for with from by it he she they we you i".split())
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _RUNS = re.compile(r"([aA9])\1+")
+_GROUPS, _PLAIN, _DOT_WORD = re.compile("[0-9]+"), re.compile("[A-Za-z0-9]"), re.compile(r"[ (\[{]dot[ )\]}]")
+_MARK_FIRST, _MARK_LAST = re.compile(r"[(\[{]?\s?(?:at|dot)\b"), re.compile(r"\b(?:at|dot)\Z")
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
@@ -122,27 +128,38 @@ def span_features(text: str, a: int, b: int) -> list[str]:
     s = text[a:b]
     digits = sum(c in "0123456789" for c in s)
     shape = _RUNS.sub(r"\1+", s.translate(_SHAPE))
-    groups = re.findall(r"[0-9]+", s)
+    groups = _GROUPS.findall(s)
     low = s.lower()
     before = text[max(0, a - 1) : a]
     after = text[b : b + 1]
-    flat = _DOT.sub(".", low)
-    at = _AT.search(flat)
-    lead, name = (flat[: at.start()], flat[at.end() :]) if at else ("", "")
-    ends = name.rpartition(".")[2]
-    address = f"{bool(at)}{min(len(lead.split()), 3)}{min(len(name.split()), 3)}{'.' in name}{lead[:1].isalnum()}"
-    bare = bool(at) and not digits and at[0].strip() == "at"
-    common = bool(at) and any(w in _COMMON for w in (*lead.split(), *re.split(r"[\s.]+", name)))
-    # brackets in pairs, and no mark at either end
-    whole = all(s.count(x) == s.count(y) for x, y in ("()", "[]", "{}")) and not re.match(r"[(\[{]?\s?(?:at|dot)\b", low) and not re.search(r"\b(?:at|dot)\Z", low)
-    # words for a dot right before or after: the span is part of a longer address
-    part = bool(at) and (any(m.end() == len(x) for x in (text[max(0, a - 9) : a],) for m in _DOT.finditer(x)) or bool(_DOT.match(text, b)))
-    sep = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", s))))[:4]
+    dotted = "dot" in low or " . " in s
+    flat = _DOT.sub(".", low) if dotted else low
+    at = _AT.search(flat) if "at" in flat or "@" in flat else None
+    sep = "".join(sorted(set(_PLAIN.sub("", s))))[:4]
+    if at:
+        lead, name = flat[: at.start()], flat[at.end() :]
+        ends = name.rpartition(".")[2]
+        bare = not digits and at[0].strip() == "at"
+        common = any(w in _COMMON for w in (*lead.split(), *re.split(r"[\s.]+", name)))
+        # brackets in pairs, and no mark at either end
+        whole = all(s.count(x) == s.count(y) for x, y in ("()", "[]", "{}")) and not _MARK_FIRST.match(low) and not _MARK_LAST.search(low)
+        # words for a dot right before or after: the span is part of a longer address
+        part = any(m.end() == len(x) for x in (text[max(0, a - 9) : a],) for m in _DOT.finditer(x)) or bool(_DOT.match(text, b))
+        address = f"True{min(len(lead.split()), 3)}{min(len(name.split()), 3)}{'.' in name}{lead[:1].isalnum()}"
+        more = [
+            f"address={address}", f"ends=True{ends in _ENDS}", f"bare={bare}{ends in _ENDS}{common}", f"stop=True{'. ' in flat}{bare}", f"part={part}", f"whole={whole}True{part}",
+            f"form={address}{whole and not part}{ends in _ENDS}{common}",
+        ]
+    else:
+        more = ["no address"]
+    digit_run = "".join(groups)
     return [
         f"shape={shape[:24]}", f"digits={min(digits, 20)}", f"groups={min(len(groups), 8)}", f"sep={sep}", f"lens={','.join(str(len(g)) for g in groups[:6])}",
-        f"edge={before in ('', ' ') or before in '([<:;,'}{after == '' or not (after.isalnum())}", f"luhn={13 < digits < 20 and luhn(''.join(groups))}",
+        f"edge={before in ('', ' ') or before in '([<:;,'}{after == '' or not (after.isalnum())}", f"luhn={13 < digits < 20 and luhn(digit_run)}",
         f"octets={len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)}", f"alpha={digits * 2 < len(s)}",
-        f"at={'@' in s}{bool(re.search(r' ?[(\[{]? ?at ?[)\]}]? ?', low) and ' ' in s)}", f"dot={'.' in s}{bool(re.search(r'[ (\[{]dot[ )\]}]', low))}", f"plus={s[0] == '+'}", f"address={address}", f"ends={bool(at)}{ends in _ENDS}", f"bare={bare}{ends in _ENDS}{common}", f"stop={bool(at)}{'. ' in flat}{bare}", f"part={part}", f"whole={whole}{bool(at)}{part}", f"form={address}{whole and not part}{ends in _ENDS}{common}", f"zero={s[0] == '0'}{min(digits, 20)}", f"local={bool(re.fullmatch('[2-9][0-9]{2}[2-9][0-9]{6}', ''.join(groups)))}", f"start={s[0].isalnum() or s[0] in '+('}", f"end={s[-1].isalnum()}",
+        f"at={'@' in s}{'at' in low and ' ' in s}", f"dot={'.' in s}{dotted and bool(_DOT_WORD.search(low))}", f"plus={s[0] == '+'}",
+        f"zero={s[0] == '0'}{min(digits, 20)}", f"local={len(digit_run) == 10 and digit_run[0] in '23456789' and digit_run[3] in '23456789'}",
+        f"start={s[0].isalnum() or s[0] in '+('}", f"end={s[-1].isalnum()}", *more,
     ]
 
 
@@ -151,24 +168,60 @@ class SemiCrf:
 
     def __init__(self) -> None:
         self.w: dict[tuple[str | None, str], float] = {}
+        #: the weights of a feature for all kinds together, once fitted
+        self.by: dict[str, tuple[float, ...]] = {}
 
     def lattice(self, text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], list[str]]]:
         tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
         spans = {}
-        for i in range(len(tokens)):
-            seen, digits, marks = False, 0, set()
-            for j in range(i, min(i + 2 * MAX_TOKENS, len(tokens))):
-                part = text[tokens[j][0] : tokens[j][1]]
-                digits += sum(c in "0123456789" for c in part)
-                mark = part.lower()
-                if mark == "at" or (mark in ("dot", ".") and marks):
-                    marks.add("at" if mark == "at" else "dot")
-                seen = seen or part == "@" or digits > 0 or len(marks) == 2
-                if seen and (j - i >= 2 or digits >= LEAST_DIGITS) and (part[-1].isalnum()) and (text[tokens[i][0]].isalnum() or text[tokens[i][0]] in "+("):
-                    spans[i, j + 1] = span_features(text, tokens[i][0], tokens[j][1])
+        parts = [text[a:b] for a, b in tokens]
+        kinds = ["digits" if p.isdigit() else "letters" if p.isalnum() else p for p in parts]
+        for i, (a, _) in enumerate(tokens):
+            if not (text[a].isalnum() or text[a] in "+("):
+                continue
+            digits = groups = 0
+            at = dot = letters = False
+            octets = True
+            for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+                part, kind = parts[j], kinds[j]
+                if kind == "digits":
+                    digits, groups, octets = digits + len(part), groups + 1, octets and len(part) < 4
+                elif kind == "letters":
+                    digits += sum(c in "0123456789" for c in part)
+                    letters = True
+                    mark = part.lower()
+                    if mark == "at":
+                        if at:
+                            break
+                        at = True
+                    elif mark == "dot":
+                        dot = dot or at
+                elif kind == "@":
+                    if dot or "@" in parts[i:j]:
+                        break
+                    at = dot = True
+                elif kind == ".":
+                    dot = dot or at
+                if digits > MOST_DIGITS:
+                    break
+                if not part[-1].isalnum():
+                    continue
+                if at and dot:
+                    address = j - i >= 2 or digits >= LEAST_DIGITS
+                elif letters:
+                    continue
+                else:
+                    if groups > MOST_GROUPS:
+                        continue
+                    address = digits >= LEAST_DIGITS or (groups == 4 and octets)
+                if address:
+                    spans[i, j + 1] = span_features(text, a, tokens[j][1])
         return tokens, spans
 
     def scores(self, spans: dict) -> dict[tuple[int, int], list[float]]:
+        if self.by:
+            none, by = (0.0,) * len(KINDS), self.by
+            return {k: [sum(x) for x in zip(*(by.get(f, none) for f in feats), strict=True)] for k, feats in spans.items()}
         w = self.w
         return {k: [sum(w.get((kind, f), 0.0) for f in feats) for kind in KINDS] for k, feats in spans.items()}
 
@@ -251,6 +304,7 @@ class SemiCrf:
                 for f, d in grad.items():
                     square[f] = square.get(f, 0.0) + d * d
                     w[f] = w.get(f, 0.0) + rate * d / math.sqrt(square[f])
+        self.by = {f: tuple(w.get((k, f), 0.0) for k in KINDS) for _, f in w}
         return self
 
 
@@ -343,16 +397,16 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+_FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans (all), n_added."""
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    """doc_id, counts of base spans by kind, base_sha256, spans (all), n_added, n_spans."""
+    model = session(docs).sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for text in b.column(1).to_pylist():
                 base, every = find(text or "", model.value)
                 for i, k in enumerate(KINDS):
@@ -360,7 +414,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 cols[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 cols[5].append(joined(every))
                 cols[6].append(len(every) - len(base))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                cols[7].append(len(every))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", *(x.split()[0] for x in _FOUND.split(", "))])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -369,7 +424,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of their texts masked; null texts stay null."""
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    model = session(docs).sparkContext.broadcast(trained())
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
