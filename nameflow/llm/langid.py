@@ -1,19 +1,22 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A chain is a run of at most CHAIN letter words of a text.  A word's features are its prefixes and suffixes of
+A text is one chain of letter words.  A word's features are its prefixes and suffixes of
 up to three bytes, its byte n-grams of one to four, itself (the lexicon) and its shape, all hashed into
 FEATURES weights per language; transitions between the languages of adjacent words and the start are learned with
-them.  Training maximises the chains' conditional likelihood, with chains cut from
-documents and, so that switches occur, chains spliced from documents of two languages.  Forward-backward gives
+them.  Training maximises the conditional likelihood of pieces of at most CHAIN words of the training texts and, so
+that switches occur, of pieces spliced from texts of two languages.  Forward-backward gives
 every word's language probabilities; a text's language is that of the largest sum.
 
-A word's emission scores depend on the word alone, so they are computed once per task and distinct word,
-and the recursions run over all chains of a slice at once.
+A word's emission scores depend on the word alone, so they are computed once per task and distinct word.
+The recursions run over all blocks of CHAIN words of a slice at once: each block's product of transition and emission matrices
+carries the forward values of a text into its next block and the backward values into the one before, so the
+marginals are those of the whole text, whatever its length, in bounded memory.
 
-The training rows are at most TRAIN_DOCS documents per language, those of the lowest hash of their id.
+The training rows are at most `per_language` distinct rows, those of the lowest hash of their id, of each of the
+at most `languages` languages with the most rows; their texts are used whole.
 
 Defined results: a text that is null or has no letter is `und` with score 0; rows of a null id cannot train
-and are predicted; repeated rows stay repeated; other columns never matter; ties go to the first language in
+and are predicted; repeated rows train once and stay repeated; other columns never matter; ties go to the first language in
 order; without training rows everything is `und`; an empty table gives an empty table.
 """
 
@@ -23,12 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import session
 
-FEATURES, CHAIN, TRAIN_DOCS, TRAIN_WORDS, EPOCHS = 1 << 16, 64, 250, 400, 3
+FEATURES, CHAIN, TRAIN_DOCS, LANGUAGES, EPOCHS = 1 << 16, 64, 250, 200, 3
+#: Parts of a language among which training rows are chosen first.
+SALTS = 32
 UND = "und"
 _MASK = tx.U64(FEATURES - 1)
 
@@ -65,12 +71,12 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return f[order], np.bincount(o, minlength=len(start))
 
 
-def chains(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(chain of each word, place in it); chains do not cross rows"""
+def blocks(words: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block of each word, place in it, blocks of each row); blocks do not cross rows"""
     in_row = np.arange(len(words)) - words.first[:-1][words.doc]
     per_row = -(-words.count // CHAIN)
     base = np.cumsum(per_row) - per_row
-    return base[words.doc] + in_row // CHAIN, in_row % CHAIN
+    return base[words.doc] + in_row // CHAIN, in_row % CHAIN, per_row
 
 
 def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,13 +131,10 @@ class Crf:
         part = next(tx.slices(pa.array([t for t, _ in texts], pa.string()), 1 << 40))
         words = part.words(tx.WORD_LETTER)
         label = np.array([y for _, y in texts])[words.doc]
-        # up to TRAIN_WORDS of a document from a random place, half of all chains spliced of two documents
+        # half of all pieces are spliced of two texts
         runs = []
         for d in range(len(texts)):
             a, b = int(words.first[d]), int(words.first[d + 1])
-            if b - a > TRAIN_WORDS:
-                a += int(rng.integers(0, b - a - TRAIN_WORDS))
-                b = a + TRAIN_WORDS
             runs += [np.arange(x, min(x + CHAIN, b)) for x in range(a, b, CHAIN)]
         rng.shuffle(runs)
         mixed = [np.concatenate([x[: int(rng.integers(1, CHAIN - 4))], y])[:CHAIN] for x, y in zip(runs[::2], runs[1::2], strict=False)]
@@ -190,60 +193,100 @@ class Crf:
 
         rows = cache.rows(words.hashes(), make)
         scores = cache.pool[(cache.start[rows][:, None] + np.arange(k)[None])]
-        chain, place = chains(words)
-        length = np.bincount(chain) if len(chain) else np.zeros(0, np.int64)
-        emit = np.zeros((len(length), CHAIN, k), np.float32)
-        emit[chain, place] = scores
-        marg, _, _ = forward_backward_marginals(emit, length, self.trans.astype(np.float32), self.start.astype(np.float32))
-        return marg[chain, place]
+        block, place, per_row = blocks(words)
+        emit = np.zeros((int(per_row.sum()), CHAIN, k), np.float32)
+        emit[block, place] = scores
+        marg = marginals(emit, np.bincount(block, minlength=len(emit)), per_row, self.trans.astype(np.float32), self.start.astype(np.float32))
+        return marg[block, place]
 
 
-def forward_backward_marginals(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Marginals alone, in single precision."""
+def marginals(emit: np.ndarray, length: np.ndarray, per_row: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals [block, place, label] of chains that are runs of per_row[r] consecutive blocks; emit [block, place, label]."""
     c, n, k = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()
-    t = np.exp(trans)
+    t, on = np.exp(trans), np.arange(n)[:, None] < length[None]
+    head = np.cumsum(per_row) - per_row
+    lead = np.zeros(c, bool)
+    lead[head[per_row > 0]] = True
+    later = np.flatnonzero(~lead)
+
+    def forward(e: np.ndarray, on: np.ndarray, a: np.ndarray, alpha: np.ndarray | None) -> np.ndarray:
+        """The last forward values; a: what the first word's emissions multiply"""
+        for i in range(n):
+            step = (a if i == 0 else a @ t) * e[i]
+            step = step / step.sum(axis=1, keepdims=True)
+            a = step if on[i].all() else np.where(on[i][:, None], step, a)
+            if alpha is not None:
+                alpha[i] = a
+        return a
+
+    # products of the blocks that follow others, as forward values of every label that may come before
+    product = np.zeros((len(later), k, k), e.dtype)
+    if len(later):
+        el, ol = e[:, later], on[:, later]
+        p = np.broadcast_to(np.eye(k, dtype=e.dtype), (len(later), k, k))
+        for i in range(n):
+            step = (p @ t) * el[i][:, None, :]
+            step = step / step.sum(axis=(1, 2), keepdims=True)
+            p = step if ol[i].all() else np.where(ol[i][:, None, None], step, p)
+        product = p
+    number = np.full(c, -1)
+    number[later] = np.arange(len(later))
+    into, behind = np.empty((c, k), e.dtype), np.ones((c, k), e.dtype)
+    into[lead] = np.exp(start)
+    ends = np.empty((c, k), e.dtype)
+    ends[lead] = forward(e[:, lead], on[:, lead], into[lead], None)
+    most = int(per_row.max()) if len(per_row) else 0
+    longest = np.argsort(-per_row, kind="stable")
+    reach = per_row[longest]
+    for j in range(1, most):
+        here = head[longest[: np.searchsorted(-reach, -j)]] + j  # rows of more than j blocks
+        into[here] = ends[here - 1] @ t
+        out = np.einsum("ck,ckl->cl", ends[here - 1], product[number[here]])
+        ends[here] = out / out.sum(axis=1, keepdims=True)
+    for j in range(most - 1, 0, -1):
+        here = head[longest[: np.searchsorted(-reach, -j)]] + j
+        back = np.einsum("ckl,cl->ck", product[number[here]], behind[here])
+        behind[here - 1] = back / back.sum(axis=1, keepdims=True)
     alpha = np.empty_like(e)
-    on = np.arange(n)[:, None] < length[None]
-    a = e[0] * np.exp(start) if n else None
-    for i in range(n):
-        if i:
-            a = (alpha[i - 1] @ t) * e[i]
-        alpha[i] = a / a.sum(axis=1, keepdims=True)
-    beta = np.ones((c, k), e.dtype)
-    marg = np.empty_like(e)
+    forward(e, on, into, alpha)
+    marg, beta = np.empty_like(e), behind
     for i in range(n - 1, -1, -1):
         m = alpha[i] * beta
         marg[i] = m / m.sum(axis=1, keepdims=True)
         beta = np.where(on[i][:, None], (e[i] * beta) @ t.T, beta)
-        beta /= beta.sum(axis=1, keepdims=True)
-    return marg.transpose(1, 0, 2), None, None
+        beta = beta / beta.sum(axis=1, keepdims=True)
+    return marg.transpose(1, 0, 2)
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Crf | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS, languages: int = LANGUAGES) -> Crf | None:
     """Fits the model on rows whose crc32 of the id, as text, is not 2 modulo 4."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null").where(F.expr("crc32(cast(doc_id as string)) % 4 <> 2"))
-    names = sorted(r.lang for r in rows.select("lang").distinct().collect())  # a row per language
+    session(docs)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("h"))
+    texts = texts.where("doc_id is not null and lang is not null and text is not null").where(F.expr("crc32(cast(doc_id as string)) % 4 <> 2"))
+    most = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    names = sorted(r.lang for r in most.collect())  # `languages` rows at most
     if not names:
         return None
-    chosen = None
-    for name in names:
-        own = rows.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = own if chosen is None else chosen.union(own)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = texts.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).where("text is not null").orderBy("doc_id").toLocalIterator()
+    rows = texts.where(F.col("lang").isin(names)).select("lang", "doc_id", "h").distinct()
+    # tasks, then SALTS parts of a language, keep their first before the rest meets (windows with a group limit)
+    first = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).where(F.col("place") <= per_language).drop("place")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)))
+    chosen = first(first(salted, "lang", "salt").drop("salt"), "lang").select("lang", "doc_id", "h")
+    # per_language * languages rows at most, here and, whatever repeats, in what comes back
+    got = texts.join(F.broadcast(chosen), ["lang", "doc_id", "h"]).groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).orderBy("doc_id", "lang", "h")
     number = {x: i for i, x in enumerate(names)}
-    return Crf(names).fit([(r.text, number[r.lang]) for r in got])
+    return Crf(names).fit([(r.text, number[r.lang]) for r in got.toLocalIterator()])
 
 
 def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (mean probability of the language over the words), n_words,
     n_switches (adjacent words of a text with different likeliest languages)"""
-    spark = docs.sparkSession
+    spark = session(docs)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
     if crf is None:
