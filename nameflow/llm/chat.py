@@ -31,12 +31,13 @@ _CONTROL = f"({CLOSE}|{OPEN})"
 LEVELS = (0, 1)
 
 
+# Matches begin where a run of backslashes does and take it whole, so long runs are read once.
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\\*)" + _CONTROL, r"\\$1$2")
+    return F.regexp_replace(text, r"(?<!\\)(\\*+)" + _CONTROL, r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(\\*)" + _CONTROL, "$1$2")
+    return F.regexp_replace(text, r"(?<!\\)\\(\\*+)" + _CONTROL, "$1$2")
 
 
 def escape_role(role: Column) -> Column:
