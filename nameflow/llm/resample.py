@@ -10,8 +10,9 @@ fitted on at most MAX_LABELLED labelled rows, those of the lowest hash of their
 labels together say is target.  The k-th largest key is found exactly by counting keys in ever finer ranges, so
 nothing is sorted in one task.
 
-Defined results: null and empty texts have weight 0 before noise; rows of a null id have noise of
-their own hash and can be chosen; equal keys go by id; repeated rows stay repeated; other columns are ignored; an
+Defined results: null and empty texts have weight 0 before noise; rows of a null id have the noise of
+their text's hash and can be chosen; of rows with equal keys, as repeated rows have, those stored first are chosen, so k rows
+are chosen whatever repeats; repeated rows stay repeated; other columns are ignored; an
 empty table gives an empty table; without labels of the target all weights are 0.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import shared_folder, written
+from .shared import session, shared_folder, written
 
 BUCKETS = 10_000
 MAX_LABELLED = 50_000
@@ -60,14 +61,14 @@ def model(texts: DataFrame) -> np.ndarray:
     return np.log(total / total.sum())
 
 
-def gumbel(ids: DataFrame, seed: int = SEED):
-    """Standard Gumbel noise that depends on the id and the seed alone."""
-    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def gumbel(seed: int = SEED):
+    """Standard Gumbel noise that depends on the column `noise` and the seed alone."""
+    uniform = (F.pmod(F.xxhash64("noise", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(uniform))
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, n_grams, log_weight"""
+    """doc_id, noise (what the row's noise follows from), n_grams, log_weight"""
     given = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +81,10 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(n)])
                 value = given.value[bucket[order]]
                 total = [float(np.sum(value[x:y])) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(part.rows[0]), len(part)), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(int(part.rows[0]), len(part)) for k in (0, 2)), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "noise", "n_grams", "log_weight"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double")
+    noise = F.coalesce("doc_id", F.xxhash64("text"))
+    return docs.select("doc_id", "text", noise.alias("noise")).mapInArrow(run, "doc_id bigint, noise bigint, n_grams bigint, log_weight double")
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> tuple[float, int]:
@@ -107,7 +109,7 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> tuple[float, int]:
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key and selected, a row per document."""
-    spark = docs.sparkSession
+    spark = session(docs)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled)
@@ -115,7 +117,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, max_labelled:
     stats = known.agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good")).first()
     target = docs.join(F.broadcast(sample.where("good").select("doc_id").distinct()), "doc_id", "left_semi")
     ratio = model(target.select("text")) - model(docs.select("text")) if stats.good and sample.where("good").limit(1).count() else np.zeros(BUCKETS)
-    scored = written(weights(docs, ratio).withColumn("key", F.col("log_weight") + gumbel(docs, seed)), shared_folder(spark, "weights"))
+    scored = weights(docs, ratio).withColumn("key", F.col("log_weight") + gumbel(seed)).withColumn("place", F.monotonically_increasing_id())
+    scored = written(scored.drop("noise"), shared_folder(spark, "weights"))
     total = scored.count()
     k = round(total * (stats.good or 0) / stats.n) if stats.n else total
     if not k:
@@ -123,8 +126,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, max_labelled:
     least, of_equal = kth_largest(scored, k)
     ties = scored.where(F.col("key") == least)
     if ties.limit(of_equal + 1).count() > of_equal:
-        last = ties.orderBy("doc_id").limit(of_equal).agg(F.max("doc_id")).first()[0]
-        chosen = (F.col("key") > least) | ((F.col("key") == least) & (F.col("doc_id") <= F.lit(last)))
+        last, _ = kth_largest(ties.select((-F.col("place")).cast("double").alias("key")), of_equal)
+        chosen = (F.col("key") > least) | ((F.col("key") == least) & (F.col("place") <= F.lit(int(-last))))
     else:
         chosen = F.col("key") >= least
     return scored.select("doc_id", "n_grams", "log_weight", F.col("key").alias("gumbel_key"), chosen.alias("selected"))
