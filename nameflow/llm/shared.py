@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests.
+#: Used only where spark.checkpoint.dir is unset and the session is local, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: Bytes of a query's input for which one shuffle partition is planned.
 PART_BYTES = 16 << 20
@@ -20,8 +20,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED
+    """A new folder that the driver and all executors see; see remove()."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        base = DEFAULT_SHARED
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -87,7 +91,8 @@ def split_join(rows: DataFrame, about: DataFrame, key: list[str], size: str, how
     return rows.join(few, key).unionByName(rest.join(about.where(~hot), key, how))
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .blobs import pack, steps, totals, unpack
 from .components import components
-from .shared import parallelism, session, shared_folder, split_join, written
+from .shared import parallelism, remove, session, shared_folder, split_join, written
 
 #: Sets, and shingles of them, per task side beyond which a block is cut.
 CHUNK, CHUNK_TOKENS = 4000, 2_000_000
@@ -578,6 +578,8 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     rows = _block_tasks(members, single, limit, shards, folder).repartition(shards, "task").sortWithinPartitions("task", "side", "u")
     links = components(rows, "links", before=_join_blocks(limit))
     named = written(classes.join(links.toDF("rep", "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rows"), f"{folder}/named")
+    # the result reads these two tables alone
+    remove(spark, *(f"{folder}/{x}" for x in ("classes", "survivors", "sets", "members", "pieces", "q", "r", "chunks", "roots")))
     some = split_join(about.where("n > 0"), named, key, "rows", "left").select("doc_id", "n", "component")
     found = some.union(about.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

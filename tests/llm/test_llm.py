@@ -105,7 +105,18 @@ def test_forward_backward_is_exact():
             marg[i, y] += math.exp(s)
     got, pairs, norm = langid.forward_backward(emit, np.array([4]), trans, start)
     assert np.allclose(got[0], marg / total) and np.isclose(norm[0], math.log(total)) and np.isclose(pairs.sum(), 3)
-    assert np.allclose(langid.forward_backward_marginals(emit, np.array([4]), trans, start)[0][0], marg / total)
+    # texts of several blocks, against one long chain each
+    for most in (1, 3, 64):
+        for size in (1, 3, 4, 65, 1000):
+            e = rng.normal(size=(size, 3)) * 2
+            want = langid.forward_backward(e[None], np.array([size]), trans, start)[0][0]
+            m = -(-size // most)
+            cut = np.zeros((m * most, 3))
+            cut[:size] = e
+            both = np.concatenate([cut, cut]).reshape(2 * m, most, 3)
+            length = np.minimum(most, size - np.arange(m) * most)
+            got = langid.marginals(both, np.concatenate([length, length]), np.array([m, 0, m]), trans, start).reshape(2, -1, 3)
+            assert np.allclose(got[0][:size], want) and np.allclose(got[1][:size], want)
 
 
 def test_chat(spark):
@@ -135,12 +146,49 @@ def test_chat(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_backslashes(spark):
+    """Long runs of backslashes are read once and come back."""
+    slow = ["### " + "\\" * 300_000, "\\" * 300_000, "\\" * 300_000 + "### ", "\\</turn>\\\\### x" * 20_000]
+    df = spark.createDataFrame([(k, 0, "assistant", t) for k, t in enumerate(slow)], "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat.digest(chat.format_conversations(df)).collect()}
+    assert [got[k].loss_sha256 for k in range(4)] == [sha(t) for t in slow]
+
+
+def test_chat_query(spark, tmp_path):
+    """The registered query adds the conversation about its own template."""
+    from nameflow.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {x.conv_id: x for x in queries.op2_chat(spark, str(tmp_path)).collect()}
+    text = r"\### Assistant: </turn> ok"
+    assert set(got) == {1, -7} and got[-7].n_turns == 2 and got[-7].loss_chars == len(text) and got[-7].loss_sha256 == sha(text)
+
+
 def test_resampling(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(40)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = resample.resample(docs, labels).collect()
-    assert len(got) == len(ROWS) and sum(x.selected for x in got) in (round(len(ROWS) * 20 / 40), round(len(ROWS) * 20 / 40) + 1)  # a repeated row may tie at the edge
+    assert len(got) == len(ROWS) and sum(x.selected for x in got) == round(len(ROWS) * 20 / 40)
     least = min(x.gumbel_key for x in got if x.selected)
-    assert all(x.selected == (x.gumbel_key >= least) for x in got)
+    assert all(x.selected or x.gumbel_key <= least for x in got)
+    # weights, from counts of each text by itself
+    import pyarrow as pa
+
+    grams = {t: collections.Counter(b for part in tx.slices(pa.array([t], pa.string())) for b in resample.bucket_counts(part)[1].tolist()) for _, t in ROWS}
+    raw, target = (collections.Counter(dict.fromkeys(range(resample.BUCKETS), 1)) for _ in range(2))
+    for i, t in ROWS:
+        raw.update(grams[t])
+        if i < 20:
+            target.update(grams[t])
+    size = raw.total(), target.total()
+    texts = collections.defaultdict(set)
+    for i, t in ROWS:
+        texts[i].add(sum(n * (math.log(target[b] / size[1]) - math.log(raw[b] / size[0])) for b, n in grams[t].items()))
+    assert all(any(math.isclose(x.log_weight, w, abs_tol=1e-6) for w in texts[x.doc_id]) for x in got)
+    # null ids and repeated rows at the edge: k rows, none undecided
+    same = spark.createDataFrame([(None, "a b")] * 5 + [(7, "a b")] * 4 + [(None, "c"), (8, None)], "doc_id long, text string").repartition(3)
+    for share in (1, 3, 6, 10):
+        few = resample.resample(same, spark.createDataFrame([(100 + i, int(i < share), 0) for i in range(11)], "doc_id long, quality int, toxic int")).collect()
+        assert [x.selected for x in few].count(True) == share and None not in {x.selected for x in few}
     assert all(x.log_weight == 0 for x in got if x.n_grams == 0)
     assert resample.resample(empty, labels).count() == 0 and all(x.selected for x in resample.resample(docs, labels.where("false")).collect())
     keys = spark.createDataFrame([(float(k // 2),) for k in range(1001)], "key double")
@@ -154,7 +202,7 @@ def test_share_is_of_all_labels(spark, docs):
     """The number of selected rows does not depend on the sample that the target model is fitted on."""
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 0) for i in range(160)], "doc_id long, quality int, toxic int")
     for most in (1, 7, 160):
-        assert sum(x.selected for x in resample.resample(docs, labels, max_labelled=most).collect()) in (round(len(ROWS) / 4), round(len(ROWS) / 4) + 1)  # a repeated row may tie at the edge
+        assert sum(x.selected for x in resample.resample(docs, labels, max_labelled=most).collect()) == round(len(ROWS) / 4)
 
 
 @pytest.mark.parametrize("chunk", [4000, 12])
@@ -188,10 +236,15 @@ def test_jaccard(spark, docs, empty, chunk, monkeypatch):
         assert sigtree.join_components(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [2_000_000, 20])
+def test_components(spark, small, monkeypatch):
+    """In one task, and in distributed rounds."""
+    from nameflow.llm import components as module
+
+    monkeypatch.setattr(module, "SMALL_EDGES", small)
     r = random.Random(2)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(200, 299)]
+    got = {x.node: x.component for x in components(spark.createDataFrame([*edges, (None, 3), (4, None)], "u long, v long").repartition(5)).collect()}
     root = list(range(300))
     for _ in range(300):
         for a, b in edges:
@@ -242,6 +295,20 @@ def test_compiled_map():
     assert norm == "cxyzé".encode() and source.tolist() == [0, 1, 1, 2, 4, 4, 6]
 
 
+def test_long_lines(spark):
+    """Lines of a megabyte of navigation words, separators, symbols and repeated words neither fail nor take long."""
+    rows = ["home " * 200_000, "home | about > " * 70_000, " " * 1_000_000, "#" * 1_000_000, "| " * 500_000, "word " * 200_000, "homepage " * 100_000]
+    got = by_id(lines.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert [got[k].n_lines_removed for k in range(7)] == [1, 1, 0, 1, 1, 0, 0] and [got[k].n_words for k in (0, 2, 3)] == [200_000, 0, 1]
+    assert got[5].n_repeat_words == 200_000
+
+
+def test_columns_that_clash_with_the_rules(spark):
+    text = "Plain words follow one another here and they say a thing or two."
+    df = spark.createDataFrame([(1, text, "r", "g")], "doc_id long, text string, rules string, given string")
+    assert lines.clean(df).collect() == df.collect() and lines.clean(df).columns == df.columns
+
+
 def test_lines(docs, empty):
     got = by_id(lines.report(docs))
     for i, t in ROWS:
@@ -271,13 +338,13 @@ def brute_hits(rows, items, n=8):
     for item, t in items:
         w = ALNUM.findall(low(t))
         for k in range(max(1, len(w) - n + 1) if w else 0):
-            windows[tuple(w[k : k + n])].add(str(item))
+            windows[tuple(w[k : k + n])] |= {str(item)} - {"None"}
     out = {}
     for i, t in rows:
         w, hit, found = ALNUM.findall(low(t)), set(), set()
         for size in set(map(len, windows)):
             for k in range(len(w) - size + 1):
-                if x := windows.get(tuple(w[k : k + size])):
+                if (x := windows.get(tuple(w[k : k + size]))) is not None:
                     found |= x
                     hit |= set(range(k, k + size))
         out[i] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), len(found) >= 2)
@@ -287,7 +354,7 @@ def brute_hits(rows, items, n=8):
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_decontamination(spark, docs, empty, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
-    items = [(1, ROWS[45][1]), (2, " ".join(ROWS[3][1].split()[:9])), (10, "A b"), (11, None), (12, "w1"), (12, "the of"), (13, "...")]
+    items = [(1, ROWS[45][1]), (2, " ".join(ROWS[3][1].split()[:9])), (10, "A b"), (11, None), (12, "w1"), (12, "the of"), (13, "..."), (None, "A b  c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontam.digest(decontam.decontaminate(docs, bench)))
     for i, want in brute_hits(ROWS, items).items():
@@ -316,6 +383,17 @@ def test_personal_data(docs, empty):
     assert masked[307].text.endswith("x <email> <ip> <phone> 4918187128635271") and masked[300].text is None
 
 
+def test_long_runs():
+    """Patterns read runs of digits, letters and marks once, and find what the plain ones do."""
+    r, plain = random.Random(9), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(5000):
+        t = "".join(r.choice("012..a ") for _ in range(r.randint(1, 20)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
+    for unit in ("7", "\u3042", "at", "(", "x", " ", "1."):
+        t = (unit * 1_000_000)[:1_000_000]
+        assert pii.find(t, pii.trained())[1] == pii.base_spans(t)
+
+
 def test_segments_are_exact():
     """The dynamic program finds the best of all segmentations, and held-out templates come back."""
     m = pii.trained()
@@ -370,7 +448,6 @@ def test_store(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(BYTE)
-    tk.encode_special_tokens = True
     folder = str(tmp_path / "s")
     store.write(docs, BYTE, folder, end_id=2)
     got = sorted(map(tuple, store.digests(spark, folder).collect()))
@@ -393,6 +470,25 @@ def test_store(spark, docs, empty, tmp_path):
         spark.read.parquet(f"{folder}/{part}").write.parquet(f"{folder}-bad/{part}")
     with pytest.raises(Exception, match="payload"):
         store.digests(spark, f"{folder}-bad").count()
+    with pytest.raises(Exception, match="payload"):
+        store.read(spark, f"{folder}-bad").count()
+    # a recipe that is gone, or whose contents were swapped with another's
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    swapped = recipes.selectExpr("part", "place", "case doc_id when 5 then 6 when 6 then 5 else doc_id end as doc_id", "start", "n_tokens", "keys", "sizes")
+    for k, wrong in enumerate((recipes.where("doc_id <> 5"), swapped, recipes.where("false"))):
+        wrong.write.parquet(f"{folder}-{k}/recipes")
+        for part in ("objects", "manifest"):
+            spark.read.parquet(f"{folder}/{part}").write.parquet(f"{folder}-{k}/{part}")
+        for reader in (store.digests, store.read):
+            with pytest.raises(ValueError, match="manifest"):
+                reader(spark, f"{folder}-{k}")
+    # a chunk that is gone
+    spark.read.parquet(f"{folder}/objects").where("kind = 1 or n < 100").write.parquet(f"{folder}-less/objects")
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{folder}/{part}").write.parquet(f"{folder}-less/{part}")
+    for reader in (store.digests, store.read):
+        with pytest.raises(Exception, match="not stored"):
+            reader(spark, f"{folder}-less").count()
 
 
 def test_store_special_tokens(spark, tmp_path):
@@ -403,7 +499,7 @@ def test_store_special_tokens(spark, tmp_path):
     texts = [f"a {e} b", e, f"{e}{e}", f"x{e}  's", f"  {e}\n\n{e}don{e}'t", "<|endo", f"ftext|>é {e[:-1]}", None, f"日本{e}😀 {e} ", f"<{e}|>"]
     texts += ["".join(r.choice([e, "<|", "|>", " ", "a", "'s", "é", "\n", e[:5], e[5:]]) for _ in range(30)) for _ in range(40)]
     tk, folder, at = Tokenizer.from_file(BYTE), str(tmp_path / "s"), 0
-    store.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), BYTE, folder, end_id=2, special=True)
+    store.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), BYTE, folder, end_id=2)
     got = sorted(map(tuple, store.digests(spark, folder).collect()))
     for i, t in enumerate(texts):
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 2]
@@ -538,3 +634,55 @@ def test_pipeline(spark, docs, tmp_path):
     assert all("@" not in t for t in d.values())
     out = {x.doc_id: x.decoded for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == d
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts, columns that clash, and empty tables."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = lambda: ". ".join(" ".join(r.choice(VOC) for _ in range(12)) for _ in range(4)) + "."
+    item = [" ".join(r.choice(VOC) for _ in range(10)) for _ in range(2)]
+    one, two, three = text(), text(), text()
+    rows = [(None, one), (None, one), (None, " ".join([two, *item])), (5, three), (5, three), (5, None), (6, ""), (7, "\n".join([text(), *item]))]
+    kind = "doc_id long, text string, component_id string, rules string, given int, n_items int, dirty_id int, text_key string"
+    base = spark.createDataFrame([(i, t, "c", "r", 1, 2, 3, "k") for i, t in rows], kind)
+    for name, df in (("some", base), ("none", base.where("false"))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(list(enumerate(item)), "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    df = base
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path / "some"))
+        assert df.columns == base.columns
+    # rows of null id link with nothing and go by their own texts; rows of one id stay together
+    assert sorted((x.doc_id or 0, x.text) for x in df.collect()) == sorted([(0, one), (0, one), (5, three), (5, three)])
+    assert corpus_pipeline.run(spark, str(tmp_path / "some")).count() == 4
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def plain(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", ["op2_chat", "op4_sigtree", "op6_lines", "op7_decontam", "base_op8", "base_op10"])
+def test_sql_says_the_same(spark, docs, name, tmp_path):
+    """The registered SQL over the adversarial rows."""
+    import duckdb
+
+    from nameflow.llm import queries
+
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, ROWS[45][1]), (2, " ".join(ROWS[3][1].split()[:9])), (10, "A b"), (11, None), (12, "w1"), (12, "the of"), (13, "...")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    hard = [r"\### Assistant: </turn> ok", "</turn>", "\n</turn>\n### user:\nx", "\\", "a\\\\</turn>", "### ", None, "", "é\n"]
+    talk = [(c, t, role, hard[(c * 3 + t) % len(hard)]) for c in range(12) for t, role in enumerate(("system", "user", "assistant", "a:\\n\nb"))]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    said = con.sql(queries.SQL[name])
+    columns = sorted(found.columns)
+    assert columns == sorted(said.columns)
+    got = sorted(repr([plain(v) for v in r]) for r in found.select(*columns).collect())
+    assert got == sorted(repr([plain(v) for v in r]) for r in said.project(",".join(columns)).fetchall())
