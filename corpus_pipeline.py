@@ -2,13 +2,14 @@
 
 Every stage takes what the one before it kept, written as Parquet, and applies its decisions: rejected documents
 and failing lines go; of each group of near-duplicates the document with the smallest id stays; documents that hold
-windows of two benchmark items or more go; personal data is masked; the last stage returns the
-documents with their ids.  A row whose id is null is kept by the stages that cannot compare it.
+windows of two benchmark items or more go, each row by its own text; personal data is masked; the last stage returns
+the documents with their ids.  A row of null id links with nothing, so the Jaccard join keeps it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nameflow.llm import decontam, lines, pieces, pii, sigtree
 from nameflow.llm.queries import table, tokenizer_path
@@ -28,8 +29,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.where("n_items >= 2 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    dirty = found.where("n_items >= 2").select("doc_id", "text_key").distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(dirty["doc_id"]) & (F.xxhash64(docs["text"]) == dirty["text_key"])
+    return docs.join(dirty, same, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
