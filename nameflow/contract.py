@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dims, sinks
+from . import sinks
 from .functions import scalars
 from .generator import traffic
 from .operators import anonymize, catalog, decode, encode, frames, matching, metrics
@@ -243,7 +243,22 @@ def rcode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", "text", scalars.rcode_parse(F.col("text")).alias("code"))
 
 
-_CODE_TEXTS = ("No Error", "NXDOMAIN", "serv_fail", "Form-Err", "Not Implemented", "REFUSED", "16", "65535", "65536", "what", "BADVERS", "Query Refused")
+#: Texts of codes and the numbers they stand for, written out for the oracle.
+_CODES_OF_TEXTS = (
+    ("No Error", 0), ("NXDOMAIN", 3), ("serv_fail", 2), ("Form-Err", 1), ("Not Implemented", 4), ("REFUSED", 5), ("16", 16), ("65535", 65535), ("65536", None), ("what", None),
+    ("BADVERS", 16), ("Query Refused", 5), ("Name not in zone", 10), ("Bad Option Versions", 16), ("name not contained in zone", None), ("Bad-Server_Cookie", 23), ("RR Set does not exist", 8), ("TSIG Failure", 16),
+)
+_CODE_TEXTS = tuple(text for text, _ in _CODES_OF_TEXTS)
+#: Texts of the codes 0 to 29 and names of the record types 0 to 299, written out for the oracle.
+_TEXTS_OF_CODES = (
+    "No Error|Form Error|Server Failure|Non-Existent Domain|Not Implemented|Query Refused|Name should not exist|RR Set should not exist|RR Set does not exist|Not authorized|Name not in zone"
+    "|11|12|13|14|15|TSIG Failure|Key not recognized|Signature out of time window|Bad TKEY mode|Duplicate key name|Algorithm not supported|Bad truncation|Bad server cookie|24|25|26|27|28|29"
+)
+_NAMES_OF_TYPES = (
+    "Unknown A NS MD MF CNAME SOA MB MG MR NULL WKS PTR HINFO MINFO MX TXT RP AFSDB X25 ISDN RT NSAP NSAP-PTR SIG KEY PX GPOS AAAA LOC NXT EID NIMLOC SRV ATMA NAPTR KX CERT A6 DNAME SINK OPT APL DS"
+    " SSHFP IPSECKEY RRSIG NSEC DNSKEY DHCID NSEC3 NSEC3PARAM TLSA SMIMEA Unknown HIP NINFO RKEY TALINK CDS CDNSKEY OPENPGPKEY CSYNC ZONEMD SVCB HTTPS"
+)
+_LATER_TYPES = "CASE p_partkey % 300 WHEN 99 THEN 'SPF' WHEN 108 THEN 'EUI48' WHEN 109 THEN 'EUI64' WHEN 249 THEN 'TKEY' WHEN 250 THEN 'TSIG' WHEN 251 THEN 'IXFR' WHEN 252 THEN 'AXFR' WHEN 253 THEN 'MAILB' WHEN 254 THEN 'MAILA' WHEN 255 THEN 'ANY' WHEN 256 THEN 'URI' WHEN 257 THEN 'CAA' ELSE 'Unknown' END"
 
 
 def _case(column: str, entries: dict, other: str) -> str:
@@ -312,6 +327,28 @@ def sink_roundtrip_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, True)
 
 
+def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as DNS packets in a capture file, in time order, read back in batches of 1,024, decoded and matched."""
+    import uuid
+
+    from .plans import run
+    from .sources import pcap
+
+    e = _events(spark, sf_dir)
+    client, resolver, port = F.unhex(encode.hex_number(F.lit(0x0A000000) + F.col("user_id"), 8)), F.unhex(F.lit("08080808")), 1024 + F.col("user_id") % 60000
+    ident, name, one = F.col("user_id") % 65536, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example")), F.lit(1)
+    asked = encode.bare_frame(client, resolver, port, F.lit(53), encode.query(ident, name, one))
+    told = encode.bare_frame(resolver, client, F.lit(53), port, encode.response(ident, name, one, F.col("rcode"), resolver))
+    packets = e.select("ts_us", "packet_ordinal", F.when(F.col("is_query"), asked).otherwise(told).alias("data")).orderBy("ts_us", "packet_ordinal")
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or SHARED}/capture-{uuid.uuid4().hex}.pcap"
+    pcap.write_classic(((r.ts_us, r.data) for r in packets.toLocalIterator()), path)  # a packet at a time; one file has one writer
+    events = decode.events(run.decoded(run.packets(spark, path, batch_packets=1024)))
+    return sinks.records(matching.outcomes(events, T_US))
+
+
+_CAPTURE = f"""{_FOLD} SELECT request_us AS request_timestamp, response_us AS response_timestamp, concat('10.', (user_id // 65536) % 256, '.', (user_id // 256) % 256, '.', user_id % 256) AS source_ip, (1024 + user_id % 60000)::INTEGER AS source_port,
+  (user_id % 65536)::INTEGER AS id, concat('u', user_id, '.example') AS name, 'A' AS query_type, CASE rcode WHEN 0 THEN 'No Error' WHEN 2 THEN 'Server Failure' END AS response_code FROM o"""
+
 _SINK = f"""{_FOLD} SELECT request_us AS request_timestamp, response_us AS response_timestamp, concat('10.', (user_id // 65536) % 256, '.', (user_id // 256) % 256, '.', user_id % 256) AS source_ip, (user_id % 65536)::INTEGER AS source_port,
   (packet_ordinal % 65536)::INTEGER AS id, concat('u,', user_id, '\\".example') AS name, 'A' AS query_type, CASE rcode WHEN 0 THEN 'No Error' WHEN 2 THEN 'Server Failure' END AS response_code FROM o"""
 
@@ -320,10 +357,9 @@ QUERIES = {
     for f in (
         match_outcomes, match_outcomes_general, match_counters, retry_dedup, timeouts, orphan_responses, monotonic_eviction, latency_summary, latency_percentiles, non_monotonic_scan, batch_order, flow_key_rollup,
         catalog_topk, catalog_summary, disallowed_domains, qname_presentation, l2l4_filter, rcode_text, rcode_parse, qtype_text, oversized_qname_count, anonymize_ip, generate_traffic, generated_round_trip,
-        sink_roundtrip_csv, sink_roundtrip_parquet,
+        sink_roundtrip_csv, sink_roundtrip_parquet, capture_records,
     )
 }
-_PLAIN = "translate(lower(text), ' -_', '')"
 SQL = {
     "match_outcomes": _OUTCOMES,
     "match_outcomes_general": _OUTCOMES,
@@ -342,10 +378,11 @@ SQL = {
     "disallowed_domains": _BLOCKED,
     "qname_presentation": _PRESENTATION,
     "l2l4_filter": _L2L4,
-    "rcode_text": f"SELECT p_partkey, CASE WHEN p_partkey % 30 = 16 AND p_partkey % 2 = 0 THEN 'EDNS_BADVERS' ELSE {_case('p_partkey % 30', dims.RESPONSE_CODES, '(p_partkey % 30)::VARCHAR')} END AS response_code FROM part",
-    "rcode_parse": f"SELECT p_partkey, text, coalesce({_case(_PLAIN, dims.CODE_ALIASES, 'NULL')}, CASE WHEN try_cast({_PLAIN} AS INTEGER) <= 65535 THEN try_cast({_PLAIN} AS INTEGER) END)::INTEGER AS code FROM (SELECT p_partkey, {_case(f'p_partkey % {len(_CODE_TEXTS)}', dict(enumerate(_CODE_TEXTS)), 'NULL')} AS text FROM part)",
-    "qtype_text": f"SELECT p_partkey, {_case('p_partkey % 300', dims.RECORD_TYPES, chr(39) + dims.UNKNOWN_TYPE + chr(39))} AS query_type FROM part",
+    "rcode_text": f"SELECT p_partkey, CASE WHEN p_partkey % 30 = 16 AND p_partkey % 2 = 0 THEN 'EDNS_BADVERS' ELSE string_split('{_TEXTS_OF_CODES}', '|')[p_partkey % 30 + 1] END AS response_code FROM part",
+    "rcode_parse": f"SELECT p_partkey, {_case(f'p_partkey % {len(_CODE_TEXTS)}', dict(enumerate(_CODE_TEXTS)), 'NULL')} AS text, ({_case(f'p_partkey % {len(_CODE_TEXTS)}', {k: 'NULL' if n is None else n for k, (_, n) in enumerate(_CODES_OF_TEXTS)}, 'NULL')})::INTEGER AS code FROM part".replace("'NULL'", "NULL"),
+    "qtype_text": f"SELECT p_partkey, CASE WHEN p_partkey % 300 <= 65 THEN string_split('{_NAMES_OF_TYPES}', ' ')[p_partkey % 300 + 1] ELSE {_LATER_TYPES} END AS query_type FROM part",
     "oversized_qname_count": "SELECT (count(*) FILTER (WHERE p_partkey % 12 < 8))::BIGINT AS decoded_msgs, (count(*) FILTER (WHERE p_partkey % 12 >= 8))::BIGINT AS oversized_qname_msgs, 0::BIGINT AS invalid_msgs FROM part",
+    "capture_records": _CAPTURE,
     "sink_roundtrip_csv": _SINK,
     "sink_roundtrip_parquet": _SINK,
 }

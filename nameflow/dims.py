@@ -18,7 +18,7 @@ RECORD_TYPES = {
 #: Header and TSIG response codes.
 RESPONSE_CODES = {
     0: "No Error", 1: "Form Error", 2: "Server Failure", 3: "Non-Existent Domain", 4: "Not Implemented", 5: "Query Refused", 6: "Name should not exist",
-    7: "RR Set should not exist", 8: "RR Set does not exist", 9: "Not authorized", 10: "Name not contained in zone", 16: "TSIG Failure",
+    7: "RR Set should not exist", 8: "RR Set does not exist", 9: "Not authorized", 10: "Name not in zone", 16: "TSIG Failure",
     17: "Key not recognized", 18: "Signature out of time window", 19: "Bad TKEY mode", 20: "Duplicate key name", 21: "Algorithm not supported", 22: "Bad truncation", 23: "Bad server cookie",
 }
 EDNS_BADVERS = "EDNS_BADVERS"
@@ -27,7 +27,7 @@ EDNS_BADVERS = "EDNS_BADVERS"
 CODE_ALIASES = {
     "noerror": 0, "formerr": 1, "formerror": 1, "servfail": 2, "serverfailure": 2, "nxdomain": 3, "nonexistentdomain": 3, "notimp": 4, "notimplemented": 4,
     "refused": 5, "queryrefused": 5, "yxdomain": 6, "nameshouldnotexist": 6, "yxrrset": 7, "rrsetshouldnotexist": 7, "nxrrset": 8, "rrsetdoesnotexist": 8,
-    "notauth": 9, "notauthorized": 9, "notzone": 10, "namenotcontainedinzone": 10, "badvers": 16, "ednsbadvers": 16, "badsig": 16, "tsigfailure": 16,
+    "notauth": 9, "notauthorized": 9, "notzone": 10, "namenotinzone": 10, "badvers": 16, "badoptionversions": 16, "ednsbadvers": 16, "badsig": 16, "tsigfailure": 16,
     "badkey": 17, "keynotrecognized": 17, "badtime": 18, "signatureoutoftimewindow": 18, "badmode": 19, "badtkeymode": 19, "badname": 20, "duplicatekeyname": 20,
     "badalg": 21, "algorithmnotsupported": 21, "badtrunc": 22, "badtruncation": 22, "badcookie": 23, "badservercookie": 23,
 }

@@ -61,7 +61,7 @@ def transactions(spark: SparkSession, p: Profile, catalog: DataFrame, n: int, se
     code = weighted(u("code"), [(CODES[k], w) for k, w in p.response_codes.items() if w])
     count = F.least(weighted(u("retries"), p.retry_counts), F.lit(p.duplicate_max))
     t = t.withColumns({
-        "client": below(u("client"), clients), "resolver": below(u("resolver"), resolvers), "port": between(u("port"), 49152, 65535).cast("int"), "ident": below(u("ident"), 65536).cast("int"),
+        "client": below(u("client"), clients), "resolver": below(u("resolver"), resolvers), "port": between(u("port"), 49152, 65000).cast("int"), "ident": below(u("ident"), 65536).cast("int"),
         "timed_out": u("timeout") < p.timeout_rate, "rcode": code, "retries": F.when(u("duplicate") < p.duplicate_rate, count).otherwise(0),
     })
     # a weighted pick from the catalog is a range join on cumulated weights, bucketed by equal steps of the range

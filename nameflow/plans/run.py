@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import platform
+import resource
 import time
 from dataclasses import asdict
 from pathlib import Path
@@ -16,9 +19,11 @@ from ..schemas import BATCH_PACKETS
 from ..sources import pcap
 
 
-def packets(spark: SparkSession, path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = False) -> DataFrame:
+def packets(spark: SparkSession, path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = False, index: pcap.Index | None = None) -> DataFrame:
+    """index: what inspect() found with the same batch_packets, where it is known."""
     spark.dataSource.register(pcap.CaptureSource)
-    return spark.read.format("capture").options(batchPackets=batch_packets, monotonic=str(monotonic).lower()).load(path)
+    known = pcap.as_option(path, index) if index else ""
+    return spark.read.format("capture").options(batchPackets=batch_packets, monotonic=str(monotonic).lower(), index=known).load(path)
 
 
 def decoded(raw: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def run(spark: SparkSession, c: Config, stdout=None) -> dict:
     began = time.time()
     index = pcap.inspect(c.input, monotonic=c.monotonic)
     key = anonymize.derive_key(anonymize.read_passphrase(c.key_file), Path(c.salt_file).read_bytes() if c.salt_file else anonymize.SALT) if c.key_file else None
-    messages = decoded(packets(spark, c.input)).persist()
+    messages = decoded(packets(spark, c.input, index=index)).persist()
     try:
         events = decode.events(messages)
         found = outcomes(events, c.timeout_us, index, c.monotonic)
@@ -65,19 +70,57 @@ def run(spark: SparkSession, c: Config, stdout=None) -> dict:
     finally:
         messages.unpersist()
     seconds = time.time() - began
-    warnings = []
-    if index.regressions:
-        a, b, d, e = index.sample
-        warnings.append(f"{index.regressions} packets are earlier than the one before them, first packet {d} at {e} us after packet {a} at {b} us")
     summary = {
-        "build": {"name": "nameflow"}, "config": asdict(c), "execution": {"seconds": seconds, "elapsed": sinks.duration(seconds), "output_seconds": tail},
-        "metrics": {"total_packets": index.packets, **counts, "packets_per_second": metrics.packets_per_second(index.packets, seconds), "regressions": index.regressions}, "warnings": warnings,
-    }
+        "build": {"name": "nameflow", "os": platform.system().lower(), "arch": platform.machine(), "pid": os.getpid()},
+        "config": asdict(c),
+        "execution": {"available_cpus": os.cpu_count(), "model": "spark", "master": spark.sparkContext.master, "default_parallelism": spark.sparkContext.defaultParallelism},
+        "metrics": {
+            # fixed names of the summary's metrics
+            "total_packets_processed": index.packets,
+            "dns_messages_rejected_oversized_qname": counts["oversized_qname_msgs"],
+            "total_dns_queries_processed": counts["dns_queries"],
+            "deduplicated_duplicate_queries": counts["dup_queries"],
+            "total_dns_responses_processed": counts["dns_responses"],
+            "total_matched_query_response_pairs": counts["matched"],
+            "timed_out_queries": counts["timeouts"],
+            "timed_out_query_ratio": counts["timed_out_query_ratio"],
+            "average_matched_rtt_ms": counts["average_rtt_ms"],
+            "processing_seconds": max(seconds - tail, 0.0),
+            "processing_speed_pps": metrics.packets_per_second(index.packets, seconds),
+            "final_write_post_processing_seconds": tail,
+            "max_memory_usage_kib": peak_kib(spark),
+            "total_runtime_seconds": seconds,
+            "decoded_messages": counts["decoded_msgs"],
+            "invalid_messages": counts["invalid_msgs"],
+        },
+        "warnings": {"non_monotonic_capture_timestamps": regressions(index), "graceful_signal_shutdown": False},
+    }
     if index.failure:
         raise pcap.CaptureError(f"{c.input}: {index.failure}; {index.packets} packets of whole batches were processed")
     return summary
 
 
+def regressions(index: pcap.Index) -> dict | None:
+    """The warning of packets that are earlier than the one before them: their number, and the first."""
+    if not index.regressions:
+        return None
+    before, before_ts, packet, ts = index.sample
+    return {
+        "count": index.regressions, "previous_packet_ordinal": before, "previous_timestamp_micros": before_ts, "current_packet_ordinal": packet,
+        "current_timestamp_micros": ts, "recommendation": "put the capture in order with reordercap",
+    }
+
+
+def peak_kib(spark: SparkSession) -> int:
+    """Peak resident memory of the driver: this process and its JVM (in local mode that is all but Python workers)."""
+    own = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    try:
+        status = Path(f"/proc/{spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()}/status").read_text()
+    except OSError:
+        return own
+    return own + sum(int(line.split()[1]) for line in status.splitlines() if line.startswith("VmHWM:"))
+
+
 def round_trip(rows: DataFrame, folder: str, parquet: bool) -> DataFrame:
     """Records written and read again."""
     spark = rows.sparkSession

@@ -63,7 +63,10 @@ def summary_json(summary: dict) -> str:
 def summary_text(summary: dict) -> str:
     m = summary["metrics"]
     lines = [f"{k.replace('_', ' ')}: {v:,}" if isinstance(v, int) else f"{k.replace('_', ' ')}: {'n/a' if v is None else format(v, '.6f')}" for k, v in m.items()]
-    return "\n".join([*lines, *(f"warning: {w}" for w in summary["warnings"])]) + "\n"
+    lines.append(f"elapsed: {duration(m['total_runtime_seconds'])}")
+    if late := summary["warnings"]["non_monotonic_capture_timestamps"]:
+        lines.append("warning: " + ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in late.items()))
+    return "\n".join(lines) + "\n"
 
 
 def duration(seconds: float) -> str:

@@ -10,9 +10,10 @@ inspect().  Files are opened through pyarrow's file systems (local paths and URI
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -69,6 +70,15 @@ class _Stream:
         self.f, self.at, self.held, self.from_ = f, at, b"", 0
         f.seek(at)
 
+    def skip(self, n: int) -> int:
+        """Passes over n bytes, without copying those that are held; how many there were."""
+        held = min(n, len(self.held) - self.from_)
+        self.from_ += held
+        self.at += held
+        while held < n and (more := len(self.take(min(n - held, READ_BYTES)))):
+            held += more
+        return held
+
     def take(self, n: int) -> bytes:
         while len(self.held) - self.from_ < n:
             more = self.f.read(max(READ_BYTES, n))
@@ -81,16 +91,18 @@ class _Stream:
         return out
 
 
-def classic_packets(s: _Stream, order: str, ticks: int) -> Iterator[tuple[int, bytes]]:
+def classic_packets(s: _Stream, order: str, ticks: int, payloads: bool = True) -> Iterator[tuple[int, bytes]]:
+    """payloads: whether the packets' bytes are wanted (else they are empty)."""
+    fields = struct.Struct(order + "4I")
     while True:
         head = s.take(16)
         if not head:
             return
         if len(head) < 16:
             raise CaptureError("a record header is cut short")
-        sec, sub, size, _ = struct.unpack(order + "4I", head)
-        data = s.take(size)
-        if len(data) < size:
+        sec, sub, size, _ = fields.unpack(head)
+        data = s.take(size) if payloads else b""
+        if (len(data) if payloads else s.skip(size)) < size:
             raise CaptureError("a record is cut short")
         yield sec * 1_000_000 + sub // ticks, data
 
@@ -186,7 +198,7 @@ def inspect(path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = Fal
         index = start(f)
         s = _Stream(f, 24 if index.kind == "classic" else 0)
         state = ["<", []]
-        packets = classic_packets(s, index.order, index.ticks) if index.kind == "classic" else pcapng_packets(s, state)
+        packets = classic_packets(s, index.order, index.ticks, payloads=False) if index.kind == "classic" else pcapng_packets(s, state)
         before, at, n, top, seen = None, s.at, 0, 0, 0
         held = (state[0], tuple(state[1]))
         regressions, sample = 0, None
@@ -213,26 +225,41 @@ def inspect(path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = Fal
         return index
 
 
+def as_option(path: str, index: Index) -> str:
+    """The reader's option `index`: what inspect() found, so that planning need not read the capture again."""
+    return json.dumps({path: asdict(index)})
+
+
+def _from_option(text: str) -> dict[str, Index]:
+    return {path: Index(**x | {"batches": [Batch(**b) for b in x["batches"]]}) for path, x in json.loads(text).items()}
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, kind: str, order: str, ticks: int, batches: list[Batch], size: int):
-        self.path, self.kind, self.order, self.ticks, self.batches, self.size = path, kind, order, ticks, batches, size
+    """base: batches of the captures before this one, which come first in processing order."""
+
+    def __init__(self, path: str, kind: str, order: str, ticks: int, batches: list[Batch], size: int, base: int = 0):
+        self.path, self.kind, self.order, self.ticks, self.batches, self.size, self.base = path, kind, order, ticks, batches, size, base
 
 
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.size = int(options.get("batchPackets", BATCH_PACKETS))
-        self.per_partition = int(options.get("batchesPerPartition", 4))
+        self.per_partition = int(options.get("batchesPerPartition", 0))
         self.monotonic = options.get("monotonic", "false").lower() == "true"
+        self.known = _from_option(options.get("index") or "{}")
         if not self.paths:
             raise CaptureError("no path")
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out, base = [], 0
         for path in self.paths:
-            index = inspect(path, self.size, self.monotonic)
-            for k in range(0, len(index.batches), self.per_partition):
-                out.append(_Part(path, index.kind, index.order, index.ticks, index.batches[k : k + self.per_partition], self.size))
+            index = self.known.get(path) or inspect(path, self.size, self.monotonic)
+            # a small capture gives a partition a batch, a large one at least 64 partitions
+            step = self.per_partition or max(1, min(64, len(index.batches) // 64))
+            for k in range(0, len(index.batches), step):
+                out.append(_Part(path, index.kind, index.order, index.ticks, index.batches[k : k + step], self.size, base))
+            base += len(index.batches)
         return out or [_Part("", "classic", "<", 1, [], self.size)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
@@ -246,13 +273,13 @@ class CaptureReader(DataSourceReader):
                 got = [next(packets) for _ in range(b.packets)]
                 ordinals = list(range(b.first, b.first + b.packets))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.path] * len(got)), pa.array(ordinals, pa.int64()), pa.array([o // partition.size for o in ordinals], pa.int64()), pa.array([t for t, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())],
+                    [pa.array([partition.path] * len(got)), pa.array(ordinals, pa.int64()), pa.array([partition.base + o // partition.size for o in ordinals], pa.int64()), pa.array([t for t, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())],
                     names=["capture", "packet_ordinal", "batch_id", "ts_us", "data"],
                 )
 
 
 class CaptureSource(DataSource):
-    """Format `capture`; options path, batchPackets, batchesPerPartition, monotonic."""
+    """Format `capture`; options path, batchPackets, batchesPerPartition, monotonic, index."""
 
     @classmethod
     def name(cls) -> str:
@@ -267,8 +294,11 @@ class CaptureSource(DataSource):
 
 def write_classic(rows, path: str) -> int:
     """Writes (ts_us, bytes) pairs in their order as a little-endian microsecond capture; returns their number."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     n = 0
-    with open(path, "wb") as f:
+    with system.open_output_stream(inner, buffer_size=READ_BYTES) as f:
         f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, LINK_ETHERNET))
         for ts, data in rows:
             f.write(struct.pack("<4I", ts // 1_000_000, ts % 1_000_000, len(data), len(data)) + bytes(data))

@@ -90,20 +90,35 @@ def test_golden_rows(spark, tmp_path):
     assert out.getvalue() == sinks.HEADER + "\n1000000,1200000,10.0.0.1,53000,4660,example.com,A,No Error\n2500000,,10.0.0.2,53001,48879,example.org,A,\n"
     got = run(spark, config.Config(path, str(tmp_path / "out"), format="parquet", zstd=True, parquet_v2=True))
     m = got["metrics"]
-    assert (m["total_packets"], m["dns_queries"], m["matched"], m["timeouts"], m["matched_rtt_sum_us"]) == (3, 2, 1, 1, 200_000)
+    shown = ("total_packets_processed", "total_dns_queries_processed", "total_matched_query_response_pairs", "timed_out_queries", "timed_out_query_ratio", "average_matched_rtt_ms")
+    assert tuple(m[k] for k in shown) == (3, 2, 1, 1, 0.5, 200.0) and m["max_memory_usage_kib"] > 10_000 and m["total_runtime_seconds"] > 0
+    assert list(got) == ["build", "config", "execution", "metrics", "warnings"] and got["warnings"]["non_monotonic_capture_timestamps"] is None
+    assert sinks.summary_json(got).endswith("\n") and "elapsed: 00:" in sinks.summary_text(got)
     table = pq.read_table(str(tmp_path / "out"))
     assert str(table.schema.field("request_timestamp").type) == "timestamp[us, tz=UTC]" and table.column("response_code").to_pylist().count(None) == 1
     meta = pq.ParquetFile(next((tmp_path / "out").glob("*.parquet"))).schema.column(0)
     assert meta.physical_type == "INT64"
 
 
+def test_captures_in_a_row(spark, tmp_path):
+    """Batches of a later capture come after those of the one before it, and a known index is not read again."""
+    from nameflow.plans.run import packets
+
+    one, two = (put(tmp_path, classic([(k * 10 + j, Q) for j in range(5)]), f"{k}.pcap") for k in (2, 1))
+    got = sorted(map(tuple, packets(spark, f"{one},{two}", batch_packets=2).select("batch_id", "ts_us").collect()))
+    assert got == [(0, 20), (0, 21), (1, 22), (1, 23), (2, 24), (3, 10), (3, 11), (4, 12), (4, 13), (5, 14)]
+    index = pcap.inspect(one, 2)
+    index.batches = index.batches[:1]
+    assert packets(spark, one, batch_packets=2, index=index).count() == 2
+
+
 def test_damaged_tail(spark, tmp_path, monkeypatch):
     """Whole batches are written, pending queries of them are not, and the run ends in an error."""
     rows = [(1_000_000, Q), (1_100_000, R), (1_200_000, Q)]
     path = put(tmp_path, classic(rows) + struct.pack("<4I", 2, 0, 64, 64) + b"abc")
     real = pcap.inspect
     monkeypatch.setattr(pcap, "inspect", lambda p, batch_packets=3, monotonic=False: real(p, 3, monotonic))
-    monkeypatch.setattr("nameflow.plans.run.packets", lambda s, p: packets(s, p, 3))
+    monkeypatch.setattr("nameflow.plans.run.packets", lambda s, p, index=None: packets(s, p, 3, index=index))
     out = io.StringIO()
     with pytest.raises(pcap.CaptureError, match="cut short"):
         run(spark, config.Config(path, "-"), out)
