@@ -342,7 +342,7 @@ def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = e.select("ts_us", "packet_ordinal", F.when(F.col("is_query"), asked).otherwise(told).alias("data")).orderBy("ts_us", "packet_ordinal")
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or SHARED}/capture-{uuid.uuid4().hex}.pcap"
     pcap.write_classic(((r.ts_us, r.data) for r in packets.toLocalIterator()), path)  # a packet at a time; one file has one writer
-    events = decode.events(run.decoded(run.packets(spark, path, batch_packets=1024)))
+    events = decode.events(run.packets(spark, path, batch_packets=1024, content="messages"))
     return sinks.records(matching.outcomes(events, T_US))
 
 

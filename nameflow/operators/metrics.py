@@ -54,8 +54,25 @@ def regressions(packets: DataFrame, ts: str = "ts_us", ordinal: str = "packet_or
     return found.agg(F.count("*").alias("regressions"), first).select("regressions", F.col("f.po").alias("previous_ordinal"), F.col("f.pt").alias("previous_ts"), F.col("f.o").alias("ordinal"), F.col("f.t").alias("ts"))
 
 
-def decode_counts(decoded: DataFrame) -> DataFrame:
-    return decoded.agg(*(F.count_if(F.col("outcome") == k).alias(n) for k, n in (("records", "decoded_msgs"), ("oversized_qname", "oversized_qname_msgs"), ("invalid", "invalid_msgs"))))
+def decode_counts(decoded: DataFrame, questions: bool = False) -> DataFrame:
+    """Messages by outcome; questions: also the numbers of questions in queries and in responses."""
+    kinds = [F.count_if(F.col("outcome") == k).alias(n) for k, n in (("records", "decoded_msgs"), ("oversized_qname", "oversized_qname_msgs"), ("invalid", "invalid_msgs"))]
+    if questions:
+        asked = F.coalesce(F.size("questions"), F.lit(0)) * (F.col("outcome") == "records").cast("int")
+        kinds += [
+            F.coalesce(F.sum(F.when(side, asked)), F.lit(0)).cast("bigint").alias(n)
+            for side, n in ((~F.col("is_response"), "dns_queries"), (F.col("is_response"), "dns_responses"))
+        ]
+    return decoded.agg(*kinds)
+
+
+def record_counts(request: str = "request_timestamp", response: str = "response_timestamp") -> list[Column]:
+    """Aggregates of records: matched, timeouts, matched_rtt_sum_us."""
+    rtt = F.greatest(F.col(response) - F.col(request), F.lit(0).cast("bigint"))
+    return [
+        F.count(response).alias("matched"), F.count_if(F.col(response).isNull()).alias("timeouts"),
+        F.coalesce(F.sum(rtt), F.lit(0)).cast("bigint").alias("matched_rtt_sum_us"),
+    ]
 
 
 def packets_per_second(packets: int, seconds: float) -> int:

@@ -9,7 +9,7 @@ import time
 from dataclasses import asdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
@@ -19,11 +19,11 @@ from ..schemas import BATCH_PACKETS
 from ..sources import pcap
 
 
-def packets(spark: SparkSession, path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = False, index: pcap.Index | None = None) -> DataFrame:
-    """index: what inspect() found with the same batch_packets, where it is known."""
+def packets(spark: SparkSession, path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = False, index: pcap.Index | None = None, content: str = "packets") -> DataFrame:
+    """index: what inspect() found with the same batch_packets, where it is known.  content: `packets` or `messages`."""
     spark.dataSource.register(pcap.CaptureSource)
     known = pcap.as_option(path, index) if index else ""
-    return spark.read.format("capture").options(batchPackets=batch_packets, monotonic=str(monotonic).lower(), index=known).load(path)
+    return spark.read.format("capture").options(batchPackets=batch_packets, monotonic=str(monotonic).lower(), index=known, content=content).load(path)
 
 
 def decoded(raw: DataFrame) -> DataFrame:
@@ -43,18 +43,23 @@ def outcomes(events: DataFrame, timeout_us: int, index: pcap.Index | None = None
 
 
 def run(spark: SparkSession, c: Config, stdout=None) -> dict:
-    """Runs a configuration and returns its summary.  A damaged capture is written as far as it is whole, then raised."""
+    """Runs a configuration and returns its summary.  A damaged capture is written as far as it is whole, then raised.
+
+    Counters of the match are observed on the records as they are written, behind any sort, so that each counts once;
+    where records are streamed or left out, the match runs again for them."""
     began = time.time()
     index = pcap.inspect(c.input, monotonic=c.monotonic)
     key = anonymize.derive_key(anonymize.read_passphrase(c.key_file), Path(c.salt_file).read_bytes() if c.salt_file else anonymize.SALT) if c.key_file else None
-    messages = decoded(packets(spark, c.input, index=index)).persist()
+    messages = packets(spark, c.input, index=index, content="messages").persist()
     try:
         events = decode.events(messages)
         found = outcomes(events, c.timeout_us, index, c.monotonic)
         rows = sinks.records(found, key)
         if c.canonical_order:
             rows = rows.orderBy("request_timestamp", "id", "name", "source_ip", "source_port", "query_type")
-        wrote = time.time()
+        wrote, seen = time.time(), Observation()
+        if c.output != "-":
+            rows = rows.observe(seen, *metrics.record_counts())
         if c.output == "-":
             for line in sinks.csv_lines(rows):
                 stdout.write(line)
@@ -63,10 +68,16 @@ def run(spark: SparkSession, c: Config, stdout=None) -> dict:
         else:
             sinks.write_parquet(rows, c.output, c.zstd, c.parquet_v2)
         tail = time.time() - wrote
-        counts = matching.ratios(matching.counters(events, c.timeout_us)).first().asDict()
+        counts = metrics.decode_counts(messages, questions=True).first().asDict()
+        if c.output == "-" or index.failure:
+            counts |= matching.ratios(matching.counters(events, c.timeout_us)).first().asDict()
+        else:  # each query is a record, or repeats one: the records say what the match came to
+            counts |= seen.get
+            counts["dup_queries"] = counts["dns_queries"] - counts["matched"] - counts["timeouts"]
+            counts["timed_out_query_ratio"] = counts["timeouts"] / counts["dns_queries"] if counts["dns_queries"] else 0.0
+            counts["average_rtt_ms"] = counts["matched_rtt_sum_us"] / counts["matched"] / 1000.0 if counts["matched"] else None
         if index.failure:
             counts["timeouts"] = found.where("response_us is null").count()
-        counts |= metrics.decode_counts(messages).first().asDict()
     finally:
         messages.unpersist()
     seconds = time.time() - began

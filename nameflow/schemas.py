@@ -1,6 +1,7 @@
 """Schemas of the engine's tables."""
 
 PACKETS = "capture STRING, packet_ordinal BIGINT, batch_id BIGINT, ts_us BIGINT, data BINARY"
+MESSAGE_KEYS = "capture STRING, packet_ordinal BIGINT, batch_id BIGINT, ts_us BIGINT, is_response BOOLEAN, client_ip BINARY, client_port INT, resolver_ip BINARY"
 QUESTION = "ARRAY<STRUCT<name: STRING, qtype: INT>>"
 IDENTITY = ("id", "name", "client_ip", "client_port", "qtype", "resolver_ip")
 EVENT_ORDER = ("batch_id", "ts_us", "packet_ordinal", "record_ordinal")

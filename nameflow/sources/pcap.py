@@ -14,17 +14,21 @@ import json
 import struct
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schemas import BATCH_PACKETS, PACKETS
+from ..operators import wire
+from ..operators.decode import DECODED
+from ..schemas import BATCH_PACKETS, MESSAGE_KEYS, PACKETS
 
 #: First four bytes of classic captures: byte order and ticks per microsecond.
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 PCAPNG = b"\x0a\x0d\x0d\x0a"
 LINK_ETHERNET, RESERVED_LINK_BITS = 1, 0x0BFF0000
-READ_BYTES = 4 << 20
+READ_BYTES, RUN = 4 << 20, 4096
 
 
 class CaptureError(ValueError):
@@ -70,15 +74,6 @@ class _Stream:
         self.f, self.at, self.held, self.from_ = f, at, b"", 0
         f.seek(at)
 
-    def skip(self, n: int) -> int:
-        """Passes over n bytes, without copying those that are held; how many there were."""
-        held = min(n, len(self.held) - self.from_)
-        self.from_ += held
-        self.at += held
-        while held < n and (more := len(self.take(min(n - held, READ_BYTES)))):
-            held += more
-        return held
-
     def take(self, n: int) -> bytes:
         while len(self.held) - self.from_ < n:
             more = self.f.read(max(READ_BYTES, n))
@@ -91,20 +86,46 @@ class _Stream:
         return out
 
 
-def classic_packets(s: _Stream, order: str, ticks: int, payloads: bool = True) -> Iterator[tuple[int, bytes]]:
-    """payloads: whether the packets' bytes are wanted (else they are empty)."""
-    fields = struct.Struct(order + "4I")
-    while True:
-        head = s.take(16)
-        if not head:
-            return
-        if len(head) < 16:
+class Window(NamedTuple):
+    """Whole records of a classic capture in one buffer.
+
+    starts: places of the record headers and of what follows the last; at: place of the buffer in the file."""
+
+    data: bytes
+    starts: np.ndarray
+    ts: np.ndarray
+    at: int
+
+
+def classic_windows(f, at: int, order: str, ticks: int) -> Iterator[Window]:
+    """Records from a place on, in windows of about READ_BYTES; raises behind the last whole record if one is cut short."""
+    unpack, end = struct.Struct(order + "I").unpack_from, f.size()
+    word = np.dtype(order + "u4")
+    wanted = READ_BYTES
+    while at < end:
+        if end - at < 16:
             raise CaptureError("a record header is cut short")
-        sec, sub, size, _ = fields.unpack(head)
-        data = s.take(size) if payloads else b""
-        if (len(data) if payloads else s.skip(size)) < size:
+        f.seek(at)
+        data = f.read(wanted)
+        held, place, starts = len(data), 0, []
+        while place + 16 <= held:
+            starts.append(place)
+            place += 16 + unpack(data, place + 8)[0]
+        if place > held:  # the last record goes on behind the window
+            size, place = place - starts[-1], starts.pop()
+            if at + place + size > end:
+                wanted = 0
+            elif not starts:
+                wanted = size
+                continue
+        if starts:
+            starts = np.array([*starts, place], np.int64)
+            head = np.frombuffer(data, np.uint8)[starts[:-1, None] + np.arange(8)].view(word).astype(np.int64)
+            yield Window(data, starts, head[:, 0] * 1_000_000 + head[:, 1] // ticks, at)
+        at += place
+        if not wanted:
             raise CaptureError("a record is cut short")
-        yield sec * 1_000_000 + sub // ticks, data
+        wanted = READ_BYTES
 
 
 def check_link(field_: int) -> None:
@@ -192,36 +213,65 @@ def start(f) -> Index:
     raise CaptureError("not a capture: " + ("fewer than four bytes" if len(magic) < 4 else f"unknown magic {magic.hex()}"))
 
 
+def _timed(f, index: Index, batch_packets: int) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
+    """Times of packets in runs, the places behind them, and the state there (a PCAPNG run ends where a batch does)."""
+    if index.kind == "classic":
+        for w in classic_windows(f, 24, index.order, index.ticks):
+            yield w.ts, w.at + w.starts[1:], ("<", ())
+        return
+    state, s, seen, times, ends = ["<", []], _Stream(f), 0, [], []
+    packets, failure = pcapng_packets(s, state), None
+    while failure is None:
+        try:
+            ts, _ = next(packets)
+            seen += 1
+            times.append(ts)
+            ends.append(s.at)
+        except (StopIteration, CaptureError) as e:
+            failure = e
+        if times and (failure or seen % batch_packets == 0 or len(times) == RUN):
+            yield np.array(times), np.array(ends), (state[0], tuple(state[1]))
+            times, ends = [], []
+    if isinstance(failure, CaptureError):
+        raise failure
+
+
 def inspect(path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = False) -> Index:
     """Whole batches, regressions of time against the packet before, and what ended the reading, if it did not end well."""
     with open_file(path) as f:
         index = start(f)
-        s = _Stream(f, 24 if index.kind == "classic" else 0)
-        state = ["<", []]
-        packets = classic_packets(s, index.order, index.ticks, payloads=False) if index.kind == "classic" else pcapng_packets(s, state)
-        before, at, n, top, seen = None, s.at, 0, 0, 0
-        held = (state[0], tuple(state[1]))
+        at, held = 24 if index.kind == "classic" else 0, ("<", ())
+        n, top, seen, before = 0, 0, 0, None
         regressions, sample = 0, None
+
+        def close() -> None:
+            index.batches.append(Batch(at, seen - n, n, top, held))
+            index.packets, index.regressions, index.sample = seen, regressions, sample
+
         try:
-            for ts, _ in packets:
-                if before is not None and ts < before:
-                    if monotonic:
-                        raise NonMonotonicCaptureError(f"packet {seen} at {ts} us follows packet {seen - 1} at {before} us; put the capture in order with reordercap")
-                    regressions += 1
-                    sample = sample or (seen - 1, before, seen, ts)
-                before, top, n, seen = ts, ts if not n else max(top, ts), n + 1, seen + 1
-                if n == batch_packets:
-                    index.batches.append(Batch(at, seen - n, n, top, held))
-                    index.packets, index.regressions, index.sample = seen, regressions, sample
-                    at, n, held = s.at, 0, (state[0], tuple(state[1]))
+            for times, ends, state in _timed(f, index, batch_packets):
+                done = 0
+                while done < len(times):
+                    ts = times[done : done + batch_packets - n]
+                    earlier = np.flatnonzero(np.diff(ts, prepend=ts[0] if before is None else before) < 0)
+                    if len(earlier):
+                        k = int(earlier[0])
+                        first = (seen + k - 1, int(ts[k - 1]) if k else before, seen + k, int(ts[k]))
+                        if monotonic:
+                            raise NonMonotonicCaptureError(f"packet {first[2]} at {first[3]} us follows packet {first[0]} at {first[1]} us; put the capture in order with reordercap")
+                        regressions, sample = regressions + len(earlier), sample or first
+                    top = max(top, int(ts.max())) if n else int(ts.max())
+                    before, n, seen, done = int(ts[-1]), n + len(ts), seen + len(ts), done + len(ts)
+                    if n == batch_packets:
+                        close()
+                        at, n, held = int(ends[done - 1]), 0, state
         except NonMonotonicCaptureError:
             raise
         except CaptureError as e:
             index.failure = str(e)
             return index
         if n:
-            index.batches.append(Batch(at, seen - n, n, top, held))
-        index.packets, index.regressions, index.sample = seen, regressions, sample
+            close()
         return index
 
 
@@ -248,6 +298,7 @@ class CaptureReader(DataSourceReader):
         self.per_partition = int(options.get("batchesPerPartition", 0))
         self.monotonic = options.get("monotonic", "false").lower() == "true"
         self.known = _from_option(options.get("index") or "{}")
+        self.content = options.get("content", "packets")
         if not self.paths:
             raise CaptureError("no path")
 
@@ -265,28 +316,68 @@ class CaptureReader(DataSourceReader):
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         if not partition.batches:
             return
-        first = partition.batches[0]
+        names: dict[bytes, str] = {}
+        ordinal, left = partition.batches[0].first, sum(b.packets for b in partition.batches)
         with open_file(partition.path) as f:
-            s = _Stream(f, first.offset)
-            packets = classic_packets(s, partition.order, partition.ticks) if partition.kind == "classic" else pcapng_packets(s, [first.state[0], list(first.state[1])])
-            for b in partition.batches:
-                got = [next(packets) for _ in range(b.packets)]
-                ordinals = list(range(b.first, b.first + b.packets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.path] * len(got)), pa.array(ordinals, pa.int64()), pa.array([partition.base + o // partition.size for o in ordinals], pa.int64()), pa.array([t for t, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())],
-                    names=["capture", "packet_ordinal", "batch_id", "ts_us", "data"],
-                )
+            for ts, frames, skip in self._frames(f, partition, left):
+                ordinals = np.arange(ordinal, ordinal + len(ts))
+                ordinal += len(ts)
+                keys = [ordinals, partition.base + ordinals // partition.size, ts]
+                if self.content == "messages":
+                    yield _messages(partition.path, keys, frames, skip, names)
+                else:
+                    buf, begin, size = wire.column(frames)
+                    data = wire.cut(buf, begin + skip, size - skip, pa.binary())
+                    yield pa.RecordBatch.from_arrays([_same(partition.path, len(ts)), *map(pa.array, keys), data], names=_names(PACKETS))
+
+    def _frames(self, f, partition: _Part, left: int) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
+        """Times and frames of the partition's packets, and how many bytes of a header precede each frame."""
+        first = partition.batches[0]
+        if partition.kind == "classic":
+            for w in classic_windows(f, first.offset, partition.order, partition.ticks):
+                n = min(left, len(w.ts))
+                left -= n
+                yield w.ts[:n], pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(w.starts[: n + 1].astype(np.int32)), pa.py_buffer(w.data)]), 16
+                if not left:
+                    return
+        packets = pcapng_packets(_Stream(f, first.offset), [first.state[0], list(first.state[1])])
+        while left:
+            got, size = [], 0
+            while left and size < READ_BYTES:
+                got.append(next(packets))
+                size, left = size + len(got[-1][1]) + 1, left - 1
+            yield np.array([t for t, _ in got]), pa.array([d for _, d in got], pa.binary()), 0
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _same(text: str, n: int) -> pa.Array:
+    return pa.array([text]).take(pa.array(np.zeros(n, np.int64)))
+
+
+def _messages(path: str, keys: list[np.ndarray], frames: pa.Array, skip: int, names: dict) -> pa.RecordBatch:
+    """The decoded DNS messages of frames."""
+    buf, begin, size = wire.column(frames)
+    found = wire.dns_frames(buf, begin + skip, size - skip)
+    row = found["row"]
+    decoded = wire.decode_batch(buf, found["start"], found["size"], found["is_response"], names)
+    cols = [_same(path, len(row)), *(pa.array(k[row]) for k in keys), *(pa.array(found[c]) for c in ("is_response", "client_ip", "client_port", "resolver_ip"))]
+    return pa.RecordBatch.from_arrays([*cols, *decoded], names=[*_names(MESSAGE_KEYS), "outcome", "id", "questions", "rcode", "rcode_ctx"])
 
 
 class CaptureSource(DataSource):
-    """Format `capture`; options path, batchPackets, batchesPerPartition, monotonic, index."""
+    """Format `capture`; options path, batchPackets, batchesPerPartition, monotonic, index, and content: `packets`, or
+    `messages` for the DNS messages in them, decoded (what decode_messages(dns_messages(packets)) gives, without the way
+    of all payloads through the JVM)."""
 
     @classmethod
     def name(cls) -> str:
         return "capture"
 
     def schema(self) -> str:
-        return PACKETS
+        return f"{MESSAGE_KEYS}, {DECODED}" if self.options.get("content") == "messages" else PACKETS
 
     def reader(self, schema) -> DataSourceReader:
         return CaptureReader(self.options)

@@ -118,7 +118,7 @@ def test_damaged_tail(spark, tmp_path, monkeypatch):
     path = put(tmp_path, classic(rows) + struct.pack("<4I", 2, 0, 64, 64) + b"abc")
     real = pcap.inspect
     monkeypatch.setattr(pcap, "inspect", lambda p, batch_packets=3, monotonic=False: real(p, 3, monotonic))
-    monkeypatch.setattr("nameflow.plans.run.packets", lambda s, p, index=None: packets(s, p, 3, index=index))
+    monkeypatch.setattr("nameflow.plans.run.packets", lambda s, p, **kw: packets(s, p, 3, **kw))
     out = io.StringIO()
     with pytest.raises(pcap.CaptureError, match="cut short"):
         run(spark, config.Config(path, "-"), out)
