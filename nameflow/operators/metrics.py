@@ -40,17 +40,18 @@ def percentiles(rows: DataFrame, points=PERCENTILES, request: str = "request_us"
 def regressions(packets: DataFrame, ts: str = "ts_us", ordinal: str = "packet_ordinal", capture: Column | None = None, block: int = 65_536) -> DataFrame:
     """Packets earlier than the one before them: their count and the first as (previous ordinal, time, ordinal, time).
 
-    The order is cut into blocks of ordinals; a block's first packet meets the last of the block before through a join of block ends."""
+    Packets of one ordinal follow in order of time, those without an ordinal come last, so the result is the same however rows are dealt.
+    The order is cut into blocks of ordinals; a block's first packet meets the last of the block before through a window over block ends."""
     p = packets.select(F.col(ordinal).alias("o"), F.col(ts).alias("t"))
     cut = p.withColumn("b", F.floor(F.col("o") / block))
-    here = cut.withColumn("po", F.lag("o").over(W.partitionBy("b").orderBy("o"))).withColumn("pt", F.lag("t").over(W.partitionBy("b").orderBy("o")))
-    ends = cut.groupBy("b").agg(F.max(F.struct("o", "t")).alias("e"), F.min("o").alias("s"))
+    within = W.partitionBy("b").orderBy("o", "t")
+    here = cut.select(F.lag("o").over(within).alias("po"), F.lag("t").over(within).alias("pt"), "o", "t")
+    ends = cut.groupBy("b").agg(F.min(F.struct("o", "t")).alias("s"), F.max(F.struct("o", "t")).alias("e"))
     # the block before need not be the next lower number
-    order = W.orderBy("b")
-    link = ends.select(F.col("s").alias("o"), F.lag("e").over(order).alias("l"))
-    firsts = cut.join(link.where("l is not null"), "o").where(F.col("l.t") > F.col("t")).select(F.col("l.o").alias("po"), F.col("l.t").alias("pt"), "o", "t")
-    found = here.where("pt > t").select("po", "pt", "o", "t").union(firsts)
-    first = F.min(F.struct("o", "po", "pt", "t")).alias("f")
+    link = ends.select("s", F.lag("e").over(W.orderBy(F.asc_nulls_last("b"))).alias("l"))
+    firsts = link.select(F.col("l.o").alias("po"), F.col("l.t").alias("pt"), F.col("s.o").alias("o"), F.col("s.t").alias("t"))
+    found = here.union(firsts).where("pt > t")
+    first = F.min(F.struct(F.col("o").isNull().alias("last"), "o", "po", "pt", "t")).alias("f")
     return found.agg(F.count("*").alias("regressions"), first).select("regressions", F.col("f.po").alias("previous_ordinal"), F.col("f.pt").alias("previous_ts"), F.col("f.o").alias("ordinal"), F.col("f.t").alias("ts"))
 
 

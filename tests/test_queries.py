@@ -36,6 +36,32 @@ def test_query_equals_sql(spark, name):
     assert as_rows(contract.QUERIES[name](spark, SF).toPandas()) == as_rows(con.sql(contract.SQL[name]).df())
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_regressions_of_repeated_ordinals(spark, parts):
+    """Every packet has one packet before it, whatever repeats and wherever blocks are cut."""
+    from nameflow.operators import metrics
+
+    rows = [(k % 12, (k * 7919) % 101) for k in range(120)] + [(5, 3)] * 4 + [(40, 50), (None, 1), (None, 2), (7, None)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0)
+    order = sorted(rows, key=key)
+    bad = [(*a, *b) for a, b in zip(order, order[1:], strict=False) if None not in (a[1], b[1]) and a[1] > b[1]]
+    df = spark.createDataFrame(rows, "packet_ordinal long, ts_us long").repartition(parts)
+    for block in (1, 4, 1000):
+        assert tuple(metrics.regressions(df, block=block).first()) == (len(bad), *bad[0])
+    late = metrics.regressions(spark.createDataFrame([(1, 2), (None, 1)], "packet_ordinal long, ts_us long"), block=4)
+    assert tuple(late.first()) == (1, 1, 2, None, 1)
+
+
+def test_no_regressions(spark, tmp_path):
+    """As SQL has it: no row, not a row of nothing."""
+    import duckdb
+
+    spark.sql("select 1L as event_id, timestamp_ntz'2024-01-01 00:00:00' as ts, 1L as user_id, 'view' as event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert contract.non_monotonic_scan(spark, str(tmp_path)).collect() == con.sql(contract.SQL["non_monotonic_scan"]).fetchall() == []
+
+
 def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     if os.path.isdir(SF):
