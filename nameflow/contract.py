@@ -329,7 +329,7 @@ def sink_roundtrip_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as DNS packets in a capture file, in time order, read back in batches of 1,024, decoded and matched."""
+    """Events as DNS packets in a capture, in time order, a section for each task, read back in batches of 1,024, decoded and matched."""
     import uuid
 
     from .plans import run
@@ -341,9 +341,8 @@ def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = encode.bare_frame(client, resolver, port, F.lit(53), encode.query(ident, name, one))
     told = encode.bare_frame(resolver, client, F.lit(53), port, encode.response(ident, name, one, F.col("rcode"), resolver))
     packets = e.select("ts_us", "packet_ordinal", F.when(F.col("is_query"), asked).otherwise(told).alias("data")).orderBy("ts_us", "packet_ordinal")
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or SHARED}/capture-{uuid.uuid4().hex}.pcap"
-    pcap.write_classic(((r.ts_us, r.data) for r in packets.toLocalIterator()), path)  # a packet at a time; one file has one writer
-    events = decode.events(run.packets(spark, path, batch_packets=1024, content="messages"))
+    found = pcap.write_sections(packets, f"{spark.conf.get('spark.checkpoint.dir', None) or SHARED}/capture-{uuid.uuid4().hex}")
+    events = decode.events(run.sections(spark, found, batch_packets=1024, content="messages"))
     return sinks.records(matching.outcomes(events, T_US))
 
 

@@ -22,10 +22,16 @@ from ..sources import pcap
 def packets(spark: SparkSession, path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = False, index: pcap.Index | None = None, content: str = "packets") -> DataFrame:
     """index: what inspect() found with the same batch_packets, where it is known.  content: `packets` or `messages`."""
     spark.dataSource.register(pcap.CaptureSource)
-    known = pcap.as_option(path, index) if index else ""
+    known = pcap.as_option({path: index}) if index else ""
     return spark.read.format("capture").options(batchPackets=batch_packets, monotonic=str(monotonic).lower(), index=known, content=content).load(path)
 
 
+def sections(spark: SparkSession, found: dict[str, pcap.Index], batch_packets: int = BATCH_PACKETS, content: str = "packets") -> DataFrame:
+    """One capture in the sections that write_sections() found, read as packets() would read it from one file."""
+    spark.dataSource.register(pcap.CaptureSource)
+    return spark.read.format("capture").options(batchPackets=batch_packets, sections="true", index=pcap.as_option(found), content=content).load(",".join(found))
+
+
 def decoded(raw: DataFrame) -> DataFrame:
     return decode.decode_messages(frames.dns_messages(raw))
 

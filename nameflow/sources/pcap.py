@@ -1,4 +1,4 @@
-"""Packet captures: a Spark data source for classic PCAP and PCAPNG files, and a writer.
+"""Packet captures: a Spark data source for classic PCAP and PCAPNG files, and writers of one file or of one for each task.
 
     spark.dataSource.register(CaptureSource)
     spark.read.format("capture").load(path)
@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import wire
@@ -29,6 +31,8 @@ MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x
 PCAPNG = b"\x0a\x0d\x0d\x0a"
 LINK_ETHERNET, RESERVED_LINK_BITS = 1, 0x0BFF0000
 READ_BYTES, RUN = 4 << 20, 4096
+#: Header of the little-endian microsecond captures written here.
+HEAD = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, LINK_ETHERNET)
 
 
 class CaptureError(ValueError):
@@ -60,13 +64,23 @@ class Index:
     failure: str | None = None
 
 
-def open_file(path: str):
+def _place(path: str):
+    """(file system, path within it)"""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str):
+    system, inner = _place(path)
     return system.open_input_file(inner)
 
 
+def _create_file(path: str):
+    system, inner = _place(path)
+    return system.open_output_stream(inner, buffer_size=READ_BYTES)
+
+
 class _Stream:
     """Sequential reading with a place."""
 
@@ -275,9 +289,9 @@ def inspect(path: str, batch_packets: int = BATCH_PACKETS, monotonic: bool = Fal
         return index
 
 
-def as_option(path: str, index: Index) -> str:
-    """The reader's option `index`: what inspect() found, so that planning need not read the capture again."""
-    return json.dumps({path: asdict(index)})
+def as_option(found: dict[str, Index]) -> str:
+    """The reader's option `index`: what inspect() found by path, so that planning need not read the captures again."""
+    return json.dumps({path: asdict(index) for path, index in found.items()})
 
 
 def _from_option(text: str) -> dict[str, Index]:
@@ -285,10 +299,10 @@ def _from_option(text: str) -> dict[str, Index]:
 
 
 class _Part(InputPartition):
-    """base: batches of the captures before this one, which come first in processing order."""
+    """base: batches of the captures before this one, which come first in processing order; before: packets of the sections before this one."""
 
-    def __init__(self, path: str, kind: str, order: str, ticks: int, batches: list[Batch], size: int, base: int = 0):
-        self.path, self.kind, self.order, self.ticks, self.batches, self.size, self.base = path, kind, order, ticks, batches, size, base
+    def __init__(self, path: str, kind: str, order: str, ticks: int, batches: list[Batch], size: int, base: int = 0, before: int = 0):
+        self.path, self.kind, self.order, self.ticks, self.batches, self.size, self.base, self.before = path, kind, order, ticks, batches, size, base, before
 
 
 class CaptureReader(DataSourceReader):
@@ -299,25 +313,31 @@ class CaptureReader(DataSourceReader):
         self.monotonic = options.get("monotonic", "false").lower() == "true"
         self.known = _from_option(options.get("index") or "{}")
         self.content = options.get("content", "packets")
+        self.sections = options.get("sections", "false").lower() == "true"
         if not self.paths:
             raise CaptureError("no path")
 
     def partitions(self) -> list[InputPartition]:
-        out, base = [], 0
+        out, base, before = [], 0, 0
         for path in self.paths:
             index = self.known.get(path) or inspect(path, self.size, self.monotonic)
             # a small capture gives a partition a batch, a large one at least 64 partitions
             step = self.per_partition or max(1, min(64, len(index.batches) // 64))
             for k in range(0, len(index.batches), step):
-                out.append(_Part(path, index.kind, index.order, index.ticks, index.batches[k : k + step], self.size, base))
-            base += len(index.batches)
+                out.append(_Part(path, index.kind, index.order, index.ticks, index.batches[k : k + step], self.size, base, before))
+            if not self.sections:
+                base += len(index.batches)
+            elif index.failure:
+                raise CaptureError(f"{path}: {index.failure}; the sections behind it have no place")
+            else:
+                before += index.packets
         return out or [_Part("", "classic", "<", 1, [], self.size)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         if not partition.batches:
             return
         names: dict[bytes, str] = {}
-        ordinal, left = partition.batches[0].first, sum(b.packets for b in partition.batches)
+        ordinal, left = partition.before + partition.batches[0].first, sum(b.packets for b in partition.batches)
         with open_file(partition.path) as f:
             for ts, frames, skip in self._frames(f, partition, left):
                 ordinals = np.arange(ordinal, ordinal + len(ts))
@@ -368,7 +388,8 @@ def _messages(path: str, keys: list[np.ndarray], frames: pa.Array, skip: int, na
 
 
 class CaptureSource(DataSource):
-    """Format `capture`; options path, batchPackets, batchesPerPartition, monotonic, index, and content: `packets`, or
+    """Format `capture`; options path, batchPackets, batchesPerPartition, monotonic, index, sections (true: the files are sections of one
+    capture, whose ordinals and batches go on from file to file), and content: `packets`, or
     `messages` for the DNS messages in them, decoded (what decode_messages(dns_messages(packets)) gives, without the way
     of all payloads through the JVM)."""
 
@@ -385,13 +406,57 @@ class CaptureSource(DataSource):
 
 def write_classic(rows, path: str) -> int:
     """Writes (ts_us, bytes) pairs in their order as a little-endian microsecond capture; returns their number."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     n = 0
-    with system.open_output_stream(inner, buffer_size=READ_BYTES) as f:
-        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, LINK_ETHERNET))
+    with _create_file(path) as f:
+        f.write(HEAD)
         for ts, data in rows:
             f.write(struct.pack("<4I", ts // 1_000_000, ts % 1_000_000, len(data), len(data)) + bytes(data))
             n += 1
     return n
+
+
+def _records(b: pa.RecordBatch) -> bytes:
+    """Rows (ts_us, data) as records of a classic capture."""
+    if b.column(0).null_count or b.column(1).null_count:
+        raise CaptureError("a packet has no time or no bytes")
+    ts = b.column(0).to_numpy()
+    if ts.min() < 0 or ts.max() >= 1_000_000 << 32:
+        raise CaptureError("a packet's time does not fit a capture")
+    buf, _, size = wire.column(b.column(1))
+    ends = np.cumsum(size + 16)
+    out, body = np.zeros(ends[-1], np.uint8), np.ones(ends[-1], bool)
+    heads = (ends - size - 16)[:, None] + np.arange(16)
+    out[heads] = np.stack([ts // 1_000_000, ts % 1_000_000, size, size], axis=1).astype("<u4").view(np.uint8)
+    body[heads] = False
+    out[body] = buf[: size.sum()]
+    return out.tobytes()
+
+
+def write_sections(packets: DataFrame, folder: str) -> dict[str, Index]:
+    """Writes packets (ts_us, data) in the order they are in as sections of a capture, each partition its own in a new folder
+    that the driver and all executors see; returns their indexes by path, in order.  No packet passes through the driver."""
+    system, inner = _place(folder)
+    system.create_dir(inner, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, f = f"{folder}/{uuid.uuid4().hex}.pcap", None  # a task that runs again writes another file
+        try:
+            for b in batches:
+                if b.num_rows:
+                    if f is None:
+                        f = _create_file(path)
+                        f.write(HEAD)
+                    f.write(_records(b))
+        finally:
+            if f is not None:
+                f.close()
+        if f is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([as_option({path: inspect(path)})])], names=["found"])
+
+    found: dict[str, Index] = {}
+    for r in packets.select("ts_us", "data").mapInArrow(run, "found string").collect():  # in the order of the partitions
+        found |= _from_option(r.found)
+    if not found:
+        write_classic((), f"{folder}/none.pcap")
+        found[f"{folder}/none.pcap"] = inspect(f"{folder}/none.pcap")
+    return found

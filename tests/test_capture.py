@@ -112,6 +112,27 @@ def test_captures_in_a_row(spark, tmp_path):
     assert packets(spark, one, batch_packets=2, index=index).count() == 2
 
 
+def test_sections(spark, tmp_path):
+    """A capture written by tasks reads as the same capture in one file, with equal times on both sides of a cut and empty tasks."""
+    from nameflow.plans.run import sections
+
+    rows = [(4_000_000_000_000_007 + k // 5, k, bytes([k]) * (k % 7)) for k in range(100)]
+    packets_ = spark.createDataFrame(rows, "ts_us long, k int, data binary").repartitionByRange(8, "k").sortWithinPartitions("k")
+    found = pcap.write_sections(packets_.where("k < 30 or k > 60"), str(tmp_path / "all"))
+    assert len(found) > 3 and all(x.failure is None for x in found.values())
+    whole = str(tmp_path / "one.pcap")
+    assert pcap.write_classic(((t, d) for t, k, d in rows if k < 30 or k > 60), whole) == 69
+    shown = lambda df: [(r.packet_ordinal, r.batch_id, r.ts_us, bytes(r.data)) for r in df.orderBy("packet_ordinal").collect()]
+    assert shown(sections(spark, found, 3)) == shown(packets(spark, whole, 3))
+    assert sections(spark, pcap.write_sections(packets_.where("k < 0"), f"file://{tmp_path}/none"), 3).count() == 0
+    for bad in ("cast(-1 as long)", "cast(null as long)", "4294967296000000L"):
+        with pytest.raises(Exception, match="a packet"):
+            pcap.write_sections(spark.range(1).selectExpr(f"{bad} as ts_us", "X'00' as data"), str(tmp_path / "bad"))
+    next(iter(found.values())).failure = "cut short"
+    with pytest.raises(Exception, match="no place"):
+        sections(spark, found, 3).count()
+
+
 def test_damaged_tail(spark, tmp_path, monkeypatch):
     """Whole batches are written, pending queries of them are not, and the run ends in an error."""
     rows = [(1_000_000, Q), (1_100_000, R), (1_200_000, Q)]

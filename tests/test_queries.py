@@ -52,6 +52,18 @@ def test_regressions_of_repeated_ordinals(spark, parts):
     assert tuple(late.first()) == (1, 1, 2, None, 1)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_packets_do_not_pass_the_driver(spark, tmp_path):
+    """Of 20,000 events, nearly 4 MB as packets, the driver gets less than 0.5 MB: no more than so many tasks report."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    sent = lambda: sum(s.resultSize() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())))
+    spark.range(20).crossJoin(spark.read.parquet(f"{SF}/events.parquet")).selectExpr("event_id + id * 1000000 as event_id", "ts", "user_id", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    before = sent()
+    contract.capture_records(spark, str(tmp_path))
+    assert sent() - before < 500_000
+
+
 def test_no_regressions(spark, tmp_path):
     """As SQL has it: no row, not a row of nothing."""
     import duckdb
